@@ -33,8 +33,8 @@ FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 FLUSH = 6 << 20
 #: What an entry of an inverted list costs, as a multiple of a subset; sizes above MOST_SMALL are never small.
 SCAN_COST, MOST_SMALL = 4.0, 24
-#: 64-bit words of a sketch; rounds of comparing with one member of a list; partners of a centre in a group.
-SKETCH, ROUNDS, FAN = 8, 2, 256
+#: Least bits of a sketch, which has as many as its set has shingles or up to twice that; rounds of comparing with one member of a list; partners of a centre in a group.
+SKETCH_BITS, ROUNDS, FAN = 512, 2, 256
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -126,18 +126,17 @@ def _posted(width: int, percent: int, boundary: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
-        names, bits = ["sh", "row", "n", "pos", "small", "sketch"], U64(64 * SKETCH - 1)
+        names = ["sh", "row", "n", "pos", "small", "sketch"]
         for batch in batches:
             ids = batch.column("row").to_numpy()
             for part, data, offsets in chunks(batch.column("text"), 4 << 20):
                 own, k = ids[part], part.stop - part.start
                 h, row = distinct_shingles(data, offsets, width)
                 n = np.bincount(row, minlength=k)
-                flips = np.zeros((k, SKETCH), dtype=np.uint64)
-                spot = (mix(h ^ U64(0x5EED)) & bits).astype(np.int64)
-                cells, odd = np.unique(row * (64 * SKETCH) + spot, return_counts=True)
-                cells = cells[odd % 2 == 1]
-                np.bitwise_or.at(flips, (cells // (64 * SKETCH), cells % (64 * SKETCH) // 64), U64(1) << (cells % 64).astype(np.uint64))
+                bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+                base = np.concatenate([[0], np.cumsum(bits)])
+                spot = base[row] + (mix(h ^ U64(0x5EED)).view(np.int64) & (bits - 1)[row])
+                flips = np.packbits((np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
                 order_key = h >> U64(1)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
@@ -161,34 +160,58 @@ def _posted(width: int, percent: int, boundary: int, frequent):
                     places.append(np.zeros(len(subset), dtype=np.int64))
                 sh, which, place = np.concatenate(lists), np.concatenate(sets), np.concatenate(places)
                 yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(own[which]), pa.array(n[which].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(np.arange(len(sh)) >= m), pa.nulls(len(sh), pa.binary())], names)
-                blobs = [f.tobytes() for f in flips.astype("<u8")]
+                blobs = [flips[a:b] for a, b in zip(base // 8, base[1:] // 8)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(own), pa.array(n.astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), pa.array(blobs, pa.binary())], names)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by list, those of lists with more than one; only the last entry of a batch waits."""
-    last: pa.RecordBatch | None = None
-    open_list = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.concat_batches([last, batch]) if last is not None else batch
-        sh = now.column("sh").to_numpy()
-        same = sh[1:] == sh[:-1]
-        keep = np.zeros(len(sh), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= sh[0] == open_list
-        if keep[-1]:
-            last, open_list = None, sh[-1]
-            yield now.filter(pa.array(keep))
-        else:
-            last, open_list = now.slice(len(sh) - 1), sh[-2] if len(sh) > 1 else open_list
-            yield now.filter(pa.array(keep))
-    if last is not None and last.column("sh")[0].as_py() == open_list:
-        yield last
+def _starred(percent: int, boundary: int):
+    """Of entries sorted by list, pairs (row, with) of a list's first entry with each other one that may be linked, and
+    the entries themselves (with null) of lists of more than two. At most two entries wait for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sh", "row", "n", "pos", "small"]
+        held = [np.zeros(0, np.int64)] * 5
+        lead = None
+
+        def found(c: list[np.ndarray], last: bool) -> pa.RecordBatch:
+            nonlocal held, lead
+            sh, row, n, pos, small = c
+            m = len(sh)
+            new = np.ones(m, dtype=bool)
+            new[1:] = (sh[1:] != sh[:-1]) | (small[1:] != small[:-1])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, m))
+            group = np.cumsum(new) - 1
+            more = lead is not None and (lead[0], lead[4]) == (sh[0], small[0])
+            start = [x[first][group] for x in c]
+            if more:
+                start = [np.where(group == 0, v, x) for v, x in zip(lead, start)]
+            big = size > 2
+            big[0] |= more
+            keep = m
+            if not last and not big[-1]:
+                keep = first[-1]
+            held = [x[keep:] for x in c]
+            lead = [int(x[-1]) for x in start] if keep == m and not last else None
+            need = -(-percent * (n + start[2]) // (100 + percent))
+            low, high = np.minimum(n, start[2]), np.maximum(n, start[2])
+            fits = (100 * low >= percent * high) & (np.minimum(n - pos, start[2] - start[3]) >= need) & ((small == 1) | (high > boundary))
+            pair = np.flatnonzero(fits[:keep] & (row[:keep] != start[1][:keep]))
+            entry = np.flatnonzero(big[group][:keep])
+            out = [pa.array(np.concatenate([x[pair], x[entry]])) for x in c]
+            with_ = pa.concat_arrays([pa.array(start[1][pair]), pa.nulls(len(entry), pa.int64())])
+            return pa.RecordBatch.from_arrays([*out, with_], [*names, "with"])
+
+        for batch in batches:
+            if batch.num_rows:
+                now = [batch.column(i).cast(pa.int64()).to_numpy() for i in range(5)]
+                yield found([np.concatenate([h, x]) for h, x in zip(held, now)], False)
+        if len(held[0]):
+            yield found(held, True)
+
+    return run
 
 
 def _possible(percent: int, boundary: int, a: str = "", b: str = "c_"):
@@ -245,9 +268,9 @@ class JaccardJoin:
         work = self.work
         found = work.save(self.rows.mapInArrow(_surveyed(self.width), "row long, id long, n long, k1 long, k2 long, sh long, seen long"), "survey")
         self.docs = found.filter("row is not null").select("row", "id", "n", "k1", "k2")
-        # the set's own node is its smallest id; rows without an id, or without a shingle, are nobody's partner
+        # a set's node is the row of its smallest id; rows without an id, or without a shingle, are nobody's partner
         nodes = self.docs.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"))
-        self.nodes = work.save(nodes.select("n", "k1", "k2", F.col("least.id").alias("node"), F.col("least.row").alias("row")), "nodes")
+        self.nodes = work.save(nodes.select("n", "k1", "k2", F.col("least.id").alias("least_id"), F.col("least.row").alias("node")), "nodes")
         sizes = {r["n"]: r["count"] for r in self.nodes.filter(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
         self.boundary = boundary_by_cost(sizes, self.percent)
         seen = work.save(found.filter("sh is not null").groupBy("sh").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= LEAST_FREQUENT), "seen")
@@ -271,14 +294,15 @@ class JaccardJoin:
         total, apart = self.docs.count(), self.nodes.count()
         mine = self.rows.select("row", "text")
         if total > apart:
-            others = self.docs.select("row").join(self.nodes.select("row"), "row", "left_anti")
+            others = self.docs.select("row").join(self.nodes.select(F.col("node").alias("row")), "row", "left_anti")
             mine = mine.join(F.broadcast(others) if total - apart <= BROADCAST_KEYS else others, "row", "left_anti")
         posted = work.save(mine.mapInArrow(_posted(self.width, self.percent, self.boundary, self.frequent), "sh long, row long, n int, pos int, small boolean, sketch binary"), "posted")
-        node = self.nodes.select("row", "node")
-        self.sketches = work.save(posted.filter("sh is null").select("row", "n", "sketch").join(node, "row"), "sketches")
-        entries = posted.filter("sh is not null").select("sh", "row", "n", "pos", "small")
-        shared = entries.repartition(self.parts, "sh").sortWithinPartitions("sh").mapInArrow(_shared, entries.schema)
-        self.lists = work.save(shared.join(node, "row").select("sh", "node", "n", "pos", "small"), "lists")
+        self.sketches = work.save(posted.filter("sh is null").select(F.col("row").alias("node"), "n", "sketch").dropDuplicates(["node"]), "sketches")
+        entries = posted.filter("sh is not null").select("sh", "row", "n", "pos", F.col("small").cast("int").alias("small"))
+        met = entries.repartition(self.parts, "sh").sortWithinPartitions("sh", "small", "row").mapInArrow(_starred(self.percent, self.boundary), "sh long, row long, n long, pos long, small long, with long")
+        met = work.save(met, "met")
+        self.pairs = met.filter("with is not null").select(F.col("with").alias("a"), F.col("row").alias("b"))
+        self.lists = met.filter("with is null").select("sh", F.col("row").alias("node"), "n", "pos", (F.col("small") == 1).alias("small"))
         work.drop("posted")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -286,12 +310,12 @@ class JaccardJoin:
         work = self.work
         sk = self.sketches
         a = pairs.select("a", "b").distinct()
-        a = a.join(sk.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as")), "a").join(sk.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"), F.col("row").alias("b_row")), "b").join(sk.select(F.col("node").alias("a"), F.col("row").alias("a_row")), "a")
+        a = a.join(sk.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as")), "a").join(sk.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs")), "b").select("a", "b", "an", "bn", "as", "bs")
         apart = F.col("an") + F.col("bn") - 2 * F.ceil(self.percent * (F.col("an") + F.col("bn")) / (100 + self.percent))
-        near = work.save(a.mapInArrow(_near, "a long, b long, a_row long, b_row long, an int, bn int, differ int").filter(F.col("differ") <= apart).select("a", "b", "a_row", "b_row"), f"{name}-near")
-        wanted = near.select(F.col("a_row").alias("row"), F.col("a").alias("node")).union(near.select(F.col("b_row").alias("row"), F.col("b").alias("node"))).distinct()
-        sets = self.texts(wanted.select("row")).mapInArrow(_sets(self.width), "row long, members binary").join(wanted, "row").select("node", "members")
-        sets = work.save(sets, f"{name}-sets")
+        near = work.save(a.mapInArrow(_near, "a long, b long, an int, bn int, differ int").filter(F.col("differ") <= apart).select("a", "b"), f"{name}-near")
+        wanted = near.select(F.col("a").alias("row")).union(near.select("b")).distinct()
+        sets = self.texts(wanted).mapInArrow(_sets(self.width), "row long, members binary").select(F.col("row").alias("node"), "members")
+        sets = work.save(sets.dropDuplicates(["node"]), f"{name}-sets")
         # the node with more partners is the centre; partners of one centre fall into groups of about FAN
         fans = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).alias("groups"))
         dealt = near.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
@@ -310,13 +334,13 @@ class JaccardJoin:
         fits = _possible(self.percent, self.boundary)
         part_of = None
         for step in range(ROUNDS):
-            seeded = F.xxhash64("node", F.lit(step)) if step else F.col("node")
-            centre = lists.groupBy("sh", "small").agg(F.min(F.struct(seeded.alias("o"), "node", "n", "pos", *(["component_id"] if step else []))).alias("c"))
-            pairs = lists.join(centre, ["sh", "small"]).select("node", "n", "pos", "small", *(["component_id"] if step else []), F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), F.col("small").alias("c_small"), *([F.col("c.component_id").alias("c_component_id")] if step else []))
-            pairs = pairs.filter((F.col("node") != F.col("c_node")) & fits)
             if step:
-                pairs = pairs.filter("component_id <> c_component_id")
-            found = self.verify(pairs.select(F.col("c_node").alias("a"), F.col("node").alias("b")), f"round-{step}")
+                centre = lists.groupBy("sh", "small").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "n", "pos", "component_id")).alias("c"))
+                pairs = lists.join(centre, ["sh", "small"]).select("node", "n", "pos", "small", "component_id", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "pos", "component_id")], F.col("small").alias("c_small"))
+                pairs = pairs.filter((F.col("component_id") != F.col("c_component_id")) & fits).select(F.col("c_node").alias("a"), F.col("node").alias("b"))
+            else:
+                pairs = self.pairs
+            found = self.verify(pairs, f"round-{step}")
             links = found if links is None else links.union(found)
             part_of = components(links, work, f"components-{step}")
             lists = self._open_lists(part_of, f"lists-{step}")
@@ -339,13 +363,19 @@ class JaccardJoin:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many bits differ between the sketches of a pair: no more than shingles do."""
+    """In how many bits the sketches of a pair differ: no more than their sets do. A longer sketch is folded."""
+
+    def bits(raw: bytes, size: int) -> int:
+        x, now = int.from_bytes(raw, "little"), len(raw)
+        while now > size:
+            now //= 2
+            x = (x >> (8 * now)) ^ (x & ((1 << (8 * now)) - 1))
+        return x
+
     for batch in batches:
-        column = dict(zip(batch.schema.names, batch.columns))
-        a, b = (np.frombuffer(b"".join(column[c].to_pylist()), "<u8").reshape(-1, SKETCH) for c in ("as", "bs"))
-        differ = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32)
-        names = ["a", "b", "a_row", "b_row", "an", "bn"]
-        yield pa.RecordBatch.from_arrays([*(column[c] for c in names), pa.array(differ)], [*names, "differ"])
+        a, b = batch.column(batch.schema.names.index("as")).to_pylist(), batch.column(batch.schema.names.index("bs")).to_pylist()
+        differ = [(bits(x, size := min(len(x), len(y))) ^ bits(y, size)).bit_count() for x, y in zip(a, b)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(differ, pa.int32())], ["a", "b", "an", "bn", "differ"])
 
 
 def jaccard_components(df: DataFrame, work: Workspace, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -361,9 +391,10 @@ def jaccard_components(df: DataFrame, work: Workspace, width: int = 4, percent:
     j.survey()
     j.post()
     linked = j.join()
-    nodes = j.nodes.select("n", "k1", "k2", "node").join(linked, "node", "left")
-    out = j.docs.join(nodes, ["n", "k1", "k2"], "left")
-    component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "node", "id")).otherwise(F.col("id"))
+    nodes = j.nodes.join(linked, "node", "left").withColumn("part", F.coalesce("component_id", "node"))
+    least = nodes.groupBy("part").agg(F.min("least_id").alias("least"))
+    out = j.docs.join(nodes.join(least, "part").select("n", "k1", "k2", "least"), ["n", "k1", "k2"], "left")
+    component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("least")).otherwise(F.col("id"))
     return out.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
