@@ -26,7 +26,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     got = _powers.get(inverse)
     if got is None or len(got) < n:
-        step = np.full(max(n, 1 << 21), _BASE_INVERSE if inverse else _BASE, dtype=np.uint64)
+        step = np.full(max(n, 1 << 20), _BASE_INVERSE if inverse else _BASE, dtype=np.uint64)
         step[0] = 1
         _powers[inverse] = got = np.cumprod(step)
     return got[:n]

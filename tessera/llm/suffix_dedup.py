@@ -18,19 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import opened, squeeze
-from ._bytes import BYTE_HASH, U64, chunks, member, powers, span_hashes
+from ._bytes import BYTE_HASH, U64, chunks, column_bytes, member, powers, span_hashes
 from ._work import Workspace, as_bytes, per_gb_partitions
 
 LENGTH, GRAM = 50, 20
 #: Bytes of a suffix that are sorted, and steps at which a segment's suffix counts as its start: a repeat is found from
 #: the last such step before it, so DEPTH >= STEP + LENGTH.
 DEPTH, STEP = 96, 32
-#: Minimisers that a task gathers before it sends a block; bytes of segments handled at once.
-FLUSH, SEGMENT_BYTES = 2 << 20, 4 << 20
+#: Minimisers that a task gathers before it sends a block; bytes of segments, and of texts, handled at once.
+FLUSH, SEGMENT_BYTES, PIECE = 1 << 20, 1 << 20, 1 << 19
 #: Shared minimisers that are broadcast at most (64 MB); beyond it segments meet them by a shuffle.
 SHARED = 8 << 20
 LAST = (1 << 63) - 1
@@ -95,7 +96,7 @@ def _gathered(bits: int):
 
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for part, data, offsets in chunks(batch.column("text")):
+            for part, data, offsets in chunks(batch.column("text"), PIECE):
                 _, _, row, key = window_runs(data, offsets)
                 keys.append(key)
                 owners.append(ids[part][row])
@@ -119,33 +120,33 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "n": [len(shared)], "blob": [squeeze(shared)]})
 
 
-def pack(starts: np.ndarray, ends: np.ndarray) -> bytes:
-    return np.stack([starts, ends]).astype("<u4").tobytes()
-
-
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Spans of all blobs, overlapping or touching ones joined."""
-    parts = [np.frombuffer(b, "<u4").reshape(2, -1).astype(np.int64) for b in blobs]
-    return joined(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1)))
-
+    both = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+    own, starts, ends = joined(np.zeros(len(both), dtype=np.int64), both[:, 0], both[:, 1])
+    return starts, ends
 
-def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(starts):
-        return starts, ends
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], np.maximum.accumulate(ends[order])
-    new = np.concatenate([[True], starts[1:] > ends[:-1]])
-    return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
-
-def _by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Spans of each row, joined, as blobs."""
+def joined(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order of row and start, overlapping or touching ones of a row joined."""
     if not len(rows):
-        return rows, []
+        return rows, starts, ends
     order = np.lexsort((starts, rows))
     rows, starts, ends = rows[order], starts[order], ends[order]
+    # a row's spans lie above those of the row before
+    lift = np.cumsum(np.concatenate([[0], rows[1:] != rows[:-1]])) << 33
+    reach = np.maximum.accumulate(ends + lift)
+    new = np.concatenate([[True], starts[1:] + lift[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)
+    return rows[new], starts[new], (reach - lift)[last]
+
+
+def by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct rows, and each one's joined spans as pairs of unsigned 32-bit integers."""
+    rows, starts, ends = joined(rows, starts, ends)
     own, first = np.unique(rows, return_index=True)
-    return own, [pack(*joined(s, e)) for s, e in zip(np.split(starts, first[1:]), np.split(ends, first[1:]))]
+    data = np.stack([starts, ends], axis=1).astype("<u4").tobytes()
+    return own, pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(first * 8, len(data)).astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
 def _segments(shared):
@@ -169,9 +170,9 @@ def _segments(shared):
             group = np.cumsum(np.concatenate([[True], same[1:] != same[:-1]])) - 1
             head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             copy = id_ > id_[head][group]
-            rows, blobs = _by_row(row[copy], place[copy], (place + size)[copy])
+            rows, blobs = by_row(row[copy], place[copy], (place + size)[copy])
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(n, pa.int64()), pa.array(rows), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(n, pa.int64()), pa.array(rows), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), blobs], names)
             # the rest, one row for each segment and document row
             keep = np.flatnonzero(~copy)
             new = np.concatenate([[True], (group[keep][1:] != group[keep][:-1]) | (row[keep][1:] != row[keep][:-1])])
@@ -185,7 +186,7 @@ def _segments(shared):
 
         for batch in batches:
             ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
-            for part, data, offsets in chunks(batch.column("text")):
+            for part, data, offsets in chunks(batch.column("text"), PIECE):
                 first, last, row, key = window_runs(data, offsets)
                 if keys is not None:
                     hit = member(key, keys)
@@ -306,25 +307,26 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key: spans that repeat a smaller document's, by row. A key's segments are handled together."""
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
-        raw = rows.column("segment").to_pylist()
+        data, offsets = column_bytes(rows.column("segment"))
         ids, row = rows.column("id").to_numpy(), rows.column("row").to_numpy()
-        starts = rows.column("starts").to_pylist()
-        offsets = np.cumsum([0] + [len(x) for x in raw])
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        lists = rows.column("starts").combine_chunks()
+        starts, place = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         at, length = repeats(data, offsets, ids)
         at, length = at[length > 0], length[length > 0]
         seg = np.searchsorted(offsets, at, "right") - 1
-        many = np.array([len(starts[s]) for s in seg.tolist()], dtype=np.int64)
-        first = np.array([s for i in seg.tolist() for s in starts[i]], dtype=np.int64) + np.repeat(at - offsets[seg], many)
-        own, blobs = _by_row(np.repeat(row[seg], many), first, first + np.repeat(length, many))
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(blobs, pa.binary())], ["row", "spans"])
+        many = place[seg + 1] - place[seg]
+        ends = np.cumsum(many)
+        which = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many) + np.repeat(place[seg], many)
+        first = starts[which].astype(np.int64) + np.repeat(at - offsets[seg], many)
+        own, blobs = by_row(np.repeat(row[seg], many), first, first + np.repeat(length, many))
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), blobs], ["row", "spans"])
 
     held: list[pa.Table] = []
     size = 0
     for batch in batches:
-        known = pa.compute.is_valid(batch.column("spans"))
+        known = pc.is_valid(batch.column("spans"))
         yield pa.RecordBatch.from_arrays([c.filter(known) for c in (batch.column("row"), batch.column("spans"))], ["row", "spans"])
-        now = pa.Table.from_batches([batch]).filter(pa.compute.invert(known))
+        now = pa.Table.from_batches([batch]).filter(pc.invert(known))
         if not now.num_rows:
             continue
         held.append(now)
