@@ -1 +1,8 @@
 """A PySpark-native analytics engine: expressions, frames, time windows, sources and sinks on Spark SQL."""
+
+from .frame import Frame, concat
+from .functions import *  # noqa: F403
+from .session import session
+from .sql import SqlContext
+
+__all__ = ["Frame", "SqlContext", "concat", "session"]
