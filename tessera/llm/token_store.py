@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ._bytes import U64
+from ._bytes import U64, span_hashes
+from ._bytes import chunks as blocks_of
 from ._work import Workspace, as_bytes, per_gb_partitions
 
 KEY = 16
 #: Ids of the window that the rolling hash sees, and the smallest and largest chunk. A cut falls every MEAN ids or so.
 WINDOW, LEAST, MEAN, MOST = 16, 256, 1024, 8192
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
-#: A space before one of these starts a word in every reading of the pre-tokenizer's white space.
-SPLIT = re.compile(r" (?=[!-~À-ÖØ-öø-ɏ])")
+REMEMBERED = 1_200_000
+#: A space before one of these bytes starts a word in every reading of the pre-tokenizer's white space: visible ASCII,
+#: and the first bytes of the letters U+00C0 to U+024F.
+SAFE = np.zeros(256, dtype=bool)
+SAFE[0x21:0x7F] = True
+SAFE[0xC3:0xCA] = True
 _GEAR = np.random.default_rng(20240301).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
 
@@ -63,6 +67,10 @@ def cuts(ids: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+def split_rows(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(ids, np.cumsum(counts)[:-1])
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node moves up as it is. No leaves: the hash of nothing."""
     level = [hashlib.blake2b(b"\0" + x, digest_size=KEY).digest() for x in leaves] or [hashlib.blake2b(digest_size=KEY).digest()]
@@ -72,7 +80,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """A tokenizers file that encodes a text word by word where that is exact, remembering words."""
+    """A tokenizers file that encodes texts word by word where that is exact, remembering words."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -83,8 +91,6 @@ class Encoder:
         return cls._loaded[path]
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -94,59 +100,96 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         # a piece of a byte-level vocabulary has a character for each of its bytes
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for piece, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(piece)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words that start with a space, many in one call, and remember each one's ids.
+    def _ids(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-        Ids of a call are dealt out by the bytes that they stand for.
+    def learn(self, words: list[bytes]) -> None:
+        """Encode distinct words and remember each one's ids.
+
+        Words that start with a space go many in one call, whose ids are dealt out by the bytes that they stand for.
         """
-        for k in range(0, len(words), 200 * 64):
-            many = words[k : k + 200 * 64]
-            blocks = [many[i : i + 200] for i in range(0, len(many), 200)]
-            for block, e in zip(blocks, self.tokenizer.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False)):
+        spaced = [w for w in words if w[:1] == b" "]
+        for k in range(0, len(spaced), 200 * 64):
+            blocks = [spaced[i : i + 200] for i in range(k, min(k + 200 * 64, len(spaced)), 200)]
+            for block, e in zip(blocks, self.tokenizer.encode_batch_fast([b"".join(b).decode() for b in blocks], add_special_tokens=False)):
                 ids = np.array(e.ids, dtype=self.dtype)
-                ends = np.cumsum([len(w.encode()) for w in block])
-                last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(block, (last * self.dtype.itemsize).tolist()):
-                    self.words[w] = raw[at:end]
-                    at = end
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+                ends = np.cumsum(list(map(len, block)))
+                last = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.dtype.itemsize).tolist()
+                raw = ids.tobytes()
+                self.words.update(zip(block, [raw[a:b] for a, b in zip([0, *last], last)]))
+        self.words.update((w, self._ids(w)) for w in words if w[:1] != b" ")
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, as the library gives them.
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of whole texts, as the library gives them for each, and how many each has.
 
         The byte-level pattern never takes a space with what comes before it when a visible character follows, so
-        such spaces are safe places to split, and no merge reaches over them.
+        such spaces are safe places to split, and no merge reaches over them. Words are told apart by a 64-bit hash
+        and, in full up to 16 bytes, by their length and their first and last 8 bytes.
         """
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not self.by_word or self.special and self.special.search(text):
-                split.append(None)
-                continue
-            first, *rest = SPLIT.split(text)
-            rest = (" " + "\0 ".join(rest)).split("\0") if rest and "\0" not in text else [" " + x for x in rest]
-            split.append([first, *rest] if first else rest)
+        raw, rows = data.tobytes(), len(offsets) - 1
+        whole = [not self.by_word] * rows
+        if self.by_word and any(s in raw for s in self.special):
+            whole = [any(s in raw[a:b] for s in self.special) for a, b in zip(offsets[:-1], offsets[1:])]
+        valid = True
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            valid = False
+        if not valid:
+            whole = [True] * rows
+        if len(data):
+            split = np.zeros(len(data), dtype=bool)
+            split[:-1] = (data[:-1] == 32) & SAFE[data[1:]]
+            split[offsets[:-1][offsets[:-1] < len(data)]] = True
+            starts = np.flatnonzero(split)
+            ends = np.append(starts[1:], len(data))
+        else:
+            starts = ends = np.zeros(0, np.int64)
+        h = span_hashes(data, starts, ends)
+        _, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+        size, eight = ends - starts, np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        near = np.lib.stride_tricks.sliding_window_view(eight, 8) if len(eight) >= 8 else np.zeros((0, 8), np.uint8)
+        first, last = near[starts].copy().view("<u8").ravel(), near[np.maximum(ends - 8, starts)].copy().view("<u8").ravel()
+        first, last = (np.where(size >= 8, x, x & ((U64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - U64(1))) for x in (first, last))
+        own = lead[inverse]
+        if not ((size == size[own]) & (first == first[own]) & (last == last[own])).all():
+            whole = [True] * rows
+        if all(whole):
+            parts = [np.frombuffer(self._ids(raw[a:b]), self.dtype) for a, b in zip(offsets[:-1], offsets[1:])]
+            return np.concatenate(parts) if parts else np.zeros(0, self.dtype), np.array([len(p) for p in parts], dtype=np.int64)
+        words = [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = set().union(*[x for x in split if x]).difference(self.words)
-        self.learn([w for w in new if w[:1] == " "])
-        self.words.update((w, self._ids(w)) for w in new if w[:1] != " ")
-        return [np.frombuffer(self._ids(t) if w is None else b"".join(map(self.words.__getitem__, w)), self.dtype) for t, w in zip(texts, split)]
+        got = list(map(self.words.get, words))
+        new = [w for w, g in zip(words, got) if g is None]
+        if new:
+            self.learn(new)
+            got = [self.words[w] if g is None else g for w, g in zip(words, got)]
+        pool = np.frombuffer(b"".join(got), self.dtype)
+        n = np.array(list(map(len, got)), dtype=np.int64) // self.dtype.itemsize
+        begin = np.cumsum(n) - n
+        many = n[inverse]
+        stop = np.cumsum(many)
+        ids = pool[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - many, many) + np.repeat(begin[inverse], many)]
+        counts = np.bincount(np.searchsorted(offsets, starts, "right") - 1, many, minlength=rows).astype(np.int64)
+        if any(whole):
+            at = np.cumsum(counts) - counts
+            parts = [np.frombuffer(self._ids(raw[a:b]), self.dtype) if w else ids[k : k + c] for w, a, b, k, c in zip(whole, offsets[:-1], offsets[1:], at, counts)]
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        return ids, counts
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+        raw = text.encode()
+        return self.encode_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
 def _encoded(path: str, end_id: int):
@@ -156,8 +199,8 @@ def _encoded(path: str, end_id: int):
         for batch in batches:
             ids, rows = batch.column("id").to_pylist(), batch.column("row").to_pylist()
             chunks, recipes = ([], []), ([], [], [], [])
-            texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            for doc, row, stream in zip(ids, rows, encoder.encode_many(texts)):
+            streams = (x for _, data, offsets in blocks_of(batch.column("text"), 8 << 20) for x in split_rows(*encoder.encode_block(data, offsets)))
+            for doc, row, stream in zip(ids, rows, streams):
                 stream = np.concatenate([stream, end])
                 raw, keys, last = stream.tobytes(), [], 0
                 for cut in (cuts(stream) * encoder.dtype.itemsize).tolist():
