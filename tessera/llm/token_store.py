@@ -34,7 +34,7 @@ KEY = 16
 #: Ids of the window that the rolling hash sees, and the smallest and largest chunk. A cut falls every MEAN ids or so.
 WINDOW, LEAST, MEAN, MOST = 16, 256, 1024, 8192
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 2_000_000
 #: A space before one of these bytes starts a word in every reading of the pre-tokenizer's white space: visible ASCII,
 #: and the first bytes of the letters U+00C0 to U+024F.
 SAFE = np.zeros(256, dtype=bool)
@@ -79,6 +79,60 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Words:
+    """Words that were encoded before: an open-addressing table from hash to place, and the ids of all in one pool."""
+
+    SLOTS = 1 << 22
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.keys, self.places = np.zeros(self.SLOTS, dtype=np.uint64), np.zeros(self.SLOTS, dtype=np.int32)
+        self.size, self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for a new one. No hash is 0, which marks a free slot."""
+        out, slot = np.full(len(h), -1, dtype=np.int64), (h & U64(self.SLOTS - 1)).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            key = self.keys[at]
+            hit = key == h[open_]
+            out[open_[hit]] = self.places[at[hit]]
+            open_ = open_[~hit & (key != 0)]
+            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
+        return out
+
+    def add(self, h: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Put new distinct hashes in; their places."""
+        place = np.arange(len(self), len(self) + len(h))
+        slot, open_ = (h & U64(self.SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = free[self.keys[slot[free]] == h[free]]
+            self.places[slot[won]] = place[won]
+            open_ = np.setdiff1d(open_, won, assume_unique=True)
+            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
+        count = np.array(list(map(len, ids)), dtype=np.int64) // self.pool.itemsize
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.pool.dtype)])
+        self.size, self.first, self.last = (np.concatenate(x) for x in ((self.size, size), (self.first, first), (self.last, last)))
+        return place
+
+    def same(self, place: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (self.size[place] == size) & (self.first[place] == first) & (self.last[place] == last)
+
+    def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        many = self.count[place]
+        stop = np.cumsum(many)
+        return self.pool[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - many - self.start[place], many)], many
+
+
 class Encoder:
     """A tokenizers file that encodes texts word by word where that is exact, remembering words."""
 
@@ -103,7 +157,7 @@ class Encoder:
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(self.dtype)
         # a piece of a byte-level vocabulary has a character for each of its bytes
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for piece, i in self.tokenizer.get_vocab().items():
@@ -112,21 +166,27 @@ class Encoder:
     def _ids(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode distinct words and remember each one's ids.
+    def fresh_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words.
 
         Words that start with a space go many in one call, whose ids are dealt out by the bytes that they stand for.
         """
-        spaced = [w for w in words if w[:1] == b" "]
-        for k in range(0, len(spaced), 200 * 64):
-            blocks = [spaced[i : i + 200] for i in range(k, min(k + 200 * 64, len(spaced)), 200)]
-            for block, e in zip(blocks, self.tokenizer.encode_batch_fast([b"".join(b).decode() for b in blocks], add_special_tokens=False)):
+        out: list[bytes] = [b""] * len(words)
+        spaced = [k for k, w in enumerate(words) if w[:1] == b" "]
+        for i in range(0, len(spaced), 200 * 64):
+            blocks = [spaced[j : j + 200] for j in range(i, min(i + 200 * 64, len(spaced)), 200)]
+            texts = [b"".join(map(words.__getitem__, b)).decode() for b in blocks]
+            for block, e in zip(blocks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype=self.dtype)
-                ends = np.cumsum(list(map(len, block)))
+                ends = np.cumsum([len(words[k]) for k in block])
                 last = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.dtype.itemsize).tolist()
                 raw = ids.tobytes()
-                self.words.update(zip(block, [raw[a:b] for a, b in zip([0, *last], last)]))
-        self.words.update((w, self._ids(w)) for w in words if w[:1] != b" ")
+                for k, a, b in zip(block, [0, *last], last):
+                    out[k] = raw[a:b]
+        for k, w in enumerate(words):
+            if w[:1] != b" ":
+                out[k] = self._ids(w)
+        return out
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of whole texts, as the library gives them for each, and how many each has.
@@ -154,32 +214,28 @@ class Encoder:
             ends = np.append(starts[1:], len(data))
         else:
             starts = ends = np.zeros(0, np.int64)
-        h = span_hashes(data, starts, ends)
-        _, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+        h = np.maximum(span_hashes(data, starts, ends), U64(1))
         size, eight = ends - starts, np.concatenate([data, np.zeros(8, dtype=np.uint8)])
         near = np.lib.stride_tricks.sliding_window_view(eight, 8) if len(eight) >= 8 else np.zeros((0, 8), np.uint8)
         first, last = near[starts].copy().view("<u8").ravel(), near[np.maximum(ends - 8, starts)].copy().view("<u8").ravel()
-        first, last = (np.where(size >= 8, x, x & ((U64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - U64(1))) for x in (first, last))
-        own = lead[inverse]
-        if not ((size == size[own]) & (first == first[own]) & (last == last[own])).all():
-            whole = [True] * rows
-        if all(whole):
-            parts = [np.frombuffer(self._ids(raw[a:b]), self.dtype) for a, b in zip(offsets[:-1], offsets[1:])]
-            return np.concatenate(parts) if parts else np.zeros(0, self.dtype), np.array([len(p) for p in parts], dtype=np.int64)
-        words = [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())]
+        cut = (U64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - U64(1)
+        first, last = np.where(size >= 8, first, first & cut), np.where(size >= 8, last, last & cut)
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        got = list(map(self.words.get, words))
-        new = [w for w, g in zip(words, got) if g is None]
-        if new:
-            self.learn(new)
-            got = [self.words[w] if g is None else g for w, g in zip(words, got)]
-        pool = np.frombuffer(b"".join(got), self.dtype)
-        n = np.array(list(map(len, got)), dtype=np.int64) // self.dtype.itemsize
-        begin = np.cumsum(n) - n
-        many = n[inverse]
-        stop = np.cumsum(many)
-        ids = pool[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - many, many) + np.repeat(begin[inverse], many)]
+            self.words = Words(self.dtype)
+        which = self.words.find(h)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new, lead, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            lead = missing[lead]
+            words = [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())]
+            which[missing] = self.words.add(new, size[lead], first[lead], last[lead], self.fresh_ids(words))[inverse]
+        same = self.words.same(which, size, first, last)
+        if not same.all():
+            whole = np.isin(np.arange(rows), np.searchsorted(offsets, starts[~same], "right") - 1) | np.array(whole, dtype=bool)
+        if len(whole) and all(whole):
+            parts = [np.frombuffer(self._ids(raw[a:b]), self.dtype) for a, b in zip(offsets[:-1], offsets[1:])]
+            return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        ids, many = self.words.ids(which)
         counts = np.bincount(np.searchsorted(offsets, starts, "right") - 1, many, minlength=rows).astype(np.int64)
         if any(whole):
             at = np.cumsum(counts) - counts
@@ -199,7 +255,7 @@ def _encoded(path: str, end_id: int):
         for batch in batches:
             ids, rows = batch.column("id").to_pylist(), batch.column("row").to_pylist()
             chunks, recipes = ([], []), ([], [], [], [])
-            streams = (x for _, data, offsets in blocks_of(batch.column("text"), 8 << 20) for x in split_rows(*encoder.encode_block(data, offsets)))
+            streams = (x for _, data, offsets in blocks_of(batch.column("text"), 2 << 20) for x in split_rows(*encoder.encode_block(data, offsets)))
             for doc, row, stream in zip(ids, rows, streams):
                 stream = np.concatenate([stream, end])
                 raw, keys, last = stream.tobytes(), [], 0
