@@ -347,9 +347,14 @@ class JaccardJoin:
         # whatever is still in different components of a list: its largest component's members only meet the others
         own = lists.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
         main = own.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m")).select("sh", "small", F.col("m.component_id").alias("main"))
-        tagged = lists.join(main, ["sh", "small"])
+        # sketches of 512 bits bound how far apart two sets are, so that few pairs leave the join
+        folded = self.sketches.select("node", "sketch").mapInArrow(_folded, "node long, " + ", ".join(f"{w} long" for w in WORDS))
+        tagged = lists.join(main, ["sh", "small"]).join(folded, "node")
         minor = tagged.filter("component_id <> main")
-        other = tagged.select("sh", "small", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "pos", "component_id", "main")], F.col("small").alias("c_small"))
+        other = tagged.select("sh", "small", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "pos", "component_id", "main", *WORDS)], F.col("small").alias("c_small"))
+        n, m = F.col("n"), F.col("c_n")
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"c_{w}"))) for w in WORDS), F.lit(0))
+        fits &= differ <= n + m - 2 * F.ceil(self.percent * (n + m) / (100 + self.percent))
         pairs = minor.join(other, ["sh", "small"]).filter((F.col("component_id") != F.col("c_component_id")) & ((F.col("c_component_id") == F.col("c_main")) | (F.col("node") < F.col("c_node"))) & fits)
         links = links.union(self.verify(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")), "rest"))
         return components(links, work, "components").select(F.col("id").alias("node"), "component_id")
@@ -362,6 +367,17 @@ class JaccardJoin:
         return self.work.save(own.join(many, ["sh", "small"], "left_semi"), name)
 
 
+WORDS = [f"w{k}" for k in range(SKETCH_BITS // 64)]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches folded to SKETCH_BITS, as words."""
+    for batch in batches:
+        raws = [np.frombuffer(x, "<i8").reshape(-1, len(WORDS)) for x in batch.column("sketch").to_pylist()]
+        words = np.array([np.bitwise_xor.reduce(x, axis=0) for x in raws], dtype=np.int64).reshape(-1, len(WORDS))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(WORDS))]], ["node", *WORDS])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many bits the sketches of a pair differ: no more than their sets do. A longer sketch is folded."""
 
