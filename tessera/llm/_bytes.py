@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,25 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+_holder: tuple[str, object] = ("", None)
+
+
+def claim(owner: str, release=None) -> None:
+    """A task of `owner` starts in this worker: what another operator's tasks remembered here is let go."""
+    global _holder
+    if _holder[0] == owner:
+        return
+    if _holder[1] is not None:
+        _holder[1]()
+    _powers.clear()
+    _holder = (owner, release)
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library, which keeps freed memory as it likes
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     got = _powers.get(inverse)

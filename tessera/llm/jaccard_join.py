@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, chunks, fresh, member, mix, shingle_hashes, word_hashes
+from ._bytes import U64, chunks, claim, fresh, member, mix, shingle_hashes, word_hashes
 from ._components import components
 from ._work import BROADCAST_KEYS, Workspace, as_bytes, per_gb_partitions, semi_join
 
 #: Most shingles in the table of frequent ones, which is broadcast (16 MB), and the least count to be in it.
 FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 #: Shingles that a task counts at once.
-FLUSH = 6 << 20
+FLUSH = 4 << 20
 #: What an entry of an inverted list costs, as a multiple of a subset; sizes above MOST_SMALL are never small.
 SCAN_COST, MOST_SMALL = 4.0, 24
 #: Least bits of a sketch, which has as many as its set has shingles or up to twice that; rounds of comparing with one member of a list; partners of a centre in a group.
@@ -90,6 +90,7 @@ def _surveyed(width: int):
     """A row for each document (size and 128-bit key of its set), and shingles that a task saw in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         held: list[np.ndarray] = []
         size = 0
         names = ["row", "id", "n", "k1", "k2", "sh", "seen"]
@@ -102,7 +103,7 @@ def _surveyed(width: int):
 
         for batch in batches:
             ids, rows = batch.column("id"), batch.column("row")
-            for part, data, offsets in chunks(batch.column("text"), 4 << 20):
+            for part, data, offsets in chunks(batch.column("text"), 2 << 20):
                 h, row = distinct_shingles(data, offsets, width)
                 k = part.stop - part.start
                 n = np.bincount(row, minlength=k)
@@ -125,11 +126,12 @@ def _posted(width: int, percent: int, boundary: int, frequent):
     """Lists' entries (list, set, size, place, small: by subset) and a sketch for each set (list null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         often, rank = frequent.value
         names = ["sh", "row", "n", "pos", "small", "sketch"]
         for batch in batches:
             ids = batch.column("row").to_numpy()
-            for part, data, offsets in chunks(batch.column("text"), 4 << 20):
+            for part, data, offsets in chunks(batch.column("text"), 2 << 20):
                 own, k = ids[part], part.stop - part.start
                 h, row = distinct_shingles(data, offsets, width)
                 n = np.bincount(row, minlength=k)
@@ -226,7 +228,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row")
-            for part, data, offsets in chunks(batch.column("text"), 4 << 20):
+            for part, data, offsets in chunks(batch.column("text"), 2 << 20):
                 h, row = distinct_shingles(data, offsets, width)
                 ends = np.searchsorted(row, np.arange(part.stop - part.start + 1)) * 8
                 raw = h.astype("<u8").tobytes()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, fresh, mix
+from ._bytes import U64, claim, fresh, mix
 from ._work import Workspace
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -30,7 +30,7 @@ POOL, FLOOR = 200.0, 1e-9
 #: Longest word handled by arrays; longer ones go through a scaled scalar pass.
 ARRAY_WORD = 40
 #: Distinct words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _MULT = U64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +59,7 @@ class Pieces:
 
     @classmethod
     def of(cls, path: str) -> Pieces:
+        claim("language", cls._loaded.clear)
         if path not in cls._loaded:
             cls._loaded[path] = cls(read_pieces(path))
         return cls._loaded[path]

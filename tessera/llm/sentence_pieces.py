@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import claim
 from ._work import Workspace, as_bytes
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 #: How far below the least score an unknown character's is.
 UNKNOWN = 10.0
 
@@ -40,6 +41,7 @@ class Model:
 
     @classmethod
     def of(cls, path: str) -> Model:
+        claim("pieces", cls._loaded.clear)
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ._bytes import U64, span_hashes
+from ._bytes import U64, claim, span_hashes
 from ._bytes import chunks as blocks_of
 from ._work import Workspace, as_bytes, per_gb_partitions
 
@@ -140,6 +140,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
+        claim("tokens", cls._loaded.clear)
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
