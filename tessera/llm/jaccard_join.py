@@ -33,8 +33,9 @@ FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 FLUSH = 4 << 20
 #: What an entry of an inverted list costs, as a multiple of a subset; sizes above MOST_SMALL are never small.
 SCAN_COST, MOST_SMALL = 4.0, 24
-#: Least bits of a sketch, which has as many as its set has shingles or up to twice that; rounds of comparing with one member of a list; partners of a centre in a group.
-SKETCH_BITS, ROUNDS, FAN = 512, 2, 256
+#: Least bits of a sketch, which has as many as its set has shingles or up to twice that; rounds of comparing with one member of a list
+#: (they end early when one finds nothing; what they leave is compared whole); partners of a centre in a group.
+SKETCH_BITS, ROUNDS, FAN = 512, 5, 256
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -346,6 +347,8 @@ class JaccardJoin:
             links = found if links is None else links.union(found)
             part_of = components(links, work, f"components-{step}")
             lists = self._open_lists(part_of, f"lists-{step}")
+            if step and found.isEmpty():
+                break
         # whatever is still in different components of a list: its largest component's members only meet the others
         own = lists.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
         main = own.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m")).select("sh", "small", F.col("m.component_id").alias("main"))
