@@ -30,7 +30,7 @@ from ._work import BROADCAST_KEYS, Workspace, as_bytes, per_gb_partitions, semi_
 #: Most shingles in the table of frequent ones, which is broadcast (16 MB), and the least count to be in it.
 FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 #: Shingles that a task counts at once.
-FLUSH = 4 << 20
+FLUSH = 3 << 20
 #: What an entry of an inverted list costs, as a multiple of a subset; sizes above MOST_SMALL are never small.
 SCAN_COST, MOST_SMALL = 4.0, 24
 #: Least bits of a sketch, which has as many as its set has shingles or up to twice that; rounds of comparing with one member of a list
@@ -104,7 +104,7 @@ def _surveyed(width: int):
 
         for batch in batches:
             ids, rows = batch.column("id"), batch.column("row")
-            for part, data, offsets in chunks(batch.column("text"), 2 << 20):
+            for part, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, row = distinct_shingles(data, offsets, width)
                 k = part.stop - part.start
                 n = np.bincount(row, minlength=k)
@@ -132,7 +132,7 @@ def _posted(width: int, percent: int, boundary: int, frequent):
         names = ["sh", "row", "n", "pos", "small", "sketch"]
         for batch in batches:
             ids = batch.column("row").to_numpy()
-            for part, data, offsets in chunks(batch.column("text"), 2 << 20):
+            for part, data, offsets in chunks(batch.column("text"), 1 << 20):
                 own, k = ids[part], part.stop - part.start
                 h, row = distinct_shingles(data, offsets, width)
                 n = np.bincount(row, minlength=k)
@@ -229,7 +229,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row")
-            for part, data, offsets in chunks(batch.column("text"), 2 << 20):
+            for part, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, row = distinct_shingles(data, offsets, width)
                 ends = np.searchsorted(row, np.arange(part.stop - part.start + 1)) * 8
                 raw = h.astype("<u8").tobytes()
