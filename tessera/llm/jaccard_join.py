@@ -7,9 +7,9 @@ listing subsets costs no more than scanning. A set scans only the lists of its r
 shingles, which any partner must share one of, in an order that puts shingles found often last; the order only decides
 what is scanned, never what is found.
 
-Equal sets are one set. Lists are joined in two steps, so that a list of near copies never gives all its pairs: every
-member is compared with one member of its list, and only members of different components are compared then, whichever
-they are. Candidates pass a bit-sketch bound and are verified by exact overlap of their 64-bit shingle hashes.
+Equal sets are one set. Lists are joined in steps, so that a list of near copies never gives all its pairs: every member
+is compared with one member of its list, those outside a list's largest component then with members of that, the nearest
+of several in each round, and only members of components still apart are compared all with all. Candidates pass a bit-sketch bound and are verified by exact overlap of their 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -334,45 +334,67 @@ class JaccardJoin:
         """(node, component_id) of nodes that have a link."""
         work = self.work
         lists, links = self.lists, None
-        fits = _possible(self.percent, self.boundary)
-        part_of = None
         for step in range(ROUNDS):
-            if step:
-                centre = lists.groupBy("sh", "small").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "n", "pos", "component_id")).alias("c"))
-                pairs = lists.join(centre, ["sh", "small"]).select("node", "n", "pos", "small", "component_id", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "pos", "component_id")], F.col("small").alias("c_small"))
-                pairs = pairs.filter((F.col("component_id") != F.col("c_component_id")) & fits).select(F.col("c_node").alias("a"), F.col("node").alias("b"))
-            else:
-                pairs = self.pairs
-            found = self.verify(pairs, f"round-{step}")
+            found = self.verify(self._nearest(lists, step) if step else self.pairs, f"round-{step}")
             links = found if links is None else links.union(found)
             part_of = components(links, work, f"components-{step}")
-            lists = self._open_lists(part_of, f"lists-{step}")
+            lists = self._open_lists(lists, part_of, f"lists-{step}")
             if step and found.isEmpty():
                 break
         # whatever is still in different components of a list: its largest component's members only meet the others
-        own = lists.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
-        main = own.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m")).select("sh", "small", F.col("m.component_id").alias("main"))
-        # sketches of 512 bits bound how far apart two sets are, so that few pairs leave the join
-        folded = self.sketches.select("node", "sketch").mapInArrow(_folded, "node long, " + ", ".join(f"{w} long" for w in WORDS))
-        tagged = lists.join(main, ["sh", "small"]).join(folded, "node")
-        minor = tagged.filter("component_id <> main")
-        other = tagged.select("sh", "small", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "pos", "component_id", "main", *WORDS)], F.col("small").alias("c_small"))
-        n, m = F.col("n"), F.col("c_n")
-        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"c_{w}"))) for w in WORDS), F.lit(0))
-        fits &= differ <= n + m - 2 * F.ceil(self.percent * (n + m) / (100 + self.percent))
-        pairs = minor.join(other, ["sh", "small"]).filter((F.col("component_id") != F.col("c_component_id")) & ((F.col("c_component_id") == F.col("c_main")) | (F.col("node") < F.col("c_node"))) & fits)
+        tagged = self._tagged(lists)
+        pairs = tagged.filter("component_id <> main").join(_renamed(tagged), ["sh", "small"])
+        pairs = pairs.filter(self._apart() & ((F.col("c_component_id") == F.col("main")) | (F.col("node") < F.col("c_node"))))
         links = links.union(self.verify(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")), "rest"))
         return components(links, work, "components").select(F.col("id").alias("node"), "component_id")
 
-    def _open_lists(self, part_of: DataFrame, name: str) -> DataFrame:
-        """Entries of lists that hold several components, with them."""
-        own = self.lists.join(part_of.select(F.col("id").alias("node"), "component_id"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
+    def _open_lists(self, lists: DataFrame, part_of: DataFrame, name: str) -> DataFrame:
+        """Entries of lists that hold several components, with them and with sketches; components only grow, so that a
+        list that holds one is done with."""
+        first = "component_id" not in lists.columns
+        own = lists.drop("component_id").join(part_of.select(F.col("id").alias("node"), "component_id"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
         own = self.work.save(own, f"{name}-all")
         many = own.groupBy("sh", "small").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).filter("x <> y").select("sh", "small")
-        return self.work.save(own.join(many, ["sh", "small"], "left_semi"), name)
+        still = own.join(many, ["sh", "small"], "left_semi")
+        if first:
+            folded = self.sketches.select("node", "sketch").mapInArrow(_folded, "node long, " + ", ".join(f"{w} long" for w in WORDS))
+            still = still.join(folded, "node")
+        return self.work.save(still, name)
+
+    def _tagged(self, lists: DataFrame) -> DataFrame:
+        """Entries with their list's largest component, `main`."""
+        own = lists.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
+        main = own.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m")).select("sh", "small", F.col("m.component_id").alias("main"))
+        return lists.join(main, ["sh", "small"])
+
+    def _apart(self):
+        """Whether two entries of different components may be linked; sketches bound how far apart their sets are."""
+        n, m = F.col("n"), F.col("c_n")
+        bound = n + m - 2 * F.ceil(self.percent * (n + m) / (100 + self.percent))
+        return (F.col("component_id") != F.col("c_component_id")) & _possible(self.percent, self.boundary) & (_differ() <= bound)
+
+    def _nearest(self, lists: DataFrame, step: int) -> DataFrame:
+        """Pairs to compare: every entry outside its list's largest component meets one member of that, another in each
+        list and round; a node keeps the nearest that its lists name in each component."""
+        tagged = self._tagged(lists)
+        inside = tagged.filter("component_id = main").select("sh", "small", F.struct(F.xxhash64("node", "sh", F.lit(step)).alias("o"), *ENTRY).alias("c"))
+        centre = inside.groupBy("sh", "small").agg(F.min("c").alias("c")).select("sh", "small", F.col("small").alias("c_small"), *[F.col(f"c.{c}").alias(f"c_{c}") for c in ENTRY])
+        pairs = tagged.filter("component_id <> main").join(centre, ["sh", "small"]).filter(self._apart())
+        nearest = pairs.groupBy("node", "c_component_id").agg(F.min(F.struct(_differ().alias("differ"), "c_node")).alias("c"))
+        return nearest.select(F.col("c.c_node").alias("a"), F.col("node").alias("b"))
 
 
 WORDS = [f"w{k}" for k in range(SKETCH_BITS // 64)]
+ENTRY = ["node", "n", "pos", "component_id", *WORDS]
+
+
+def _renamed(entries: DataFrame) -> DataFrame:
+    return entries.select("sh", "small", F.col("small").alias("c_small"), *[F.col(c).alias(f"c_{c}") for c in ENTRY])
+
+
+def _differ():
+    """In how many bits the folded sketches of two entries differ."""
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"c_{w}"))) for w in WORDS), F.lit(0))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
