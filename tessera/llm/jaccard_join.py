@@ -33,9 +33,9 @@ FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 FLUSH = 3 << 20
 #: What an entry of an inverted list costs, as a multiple of a subset; sizes above MOST_SMALL are never small.
 SCAN_COST, MOST_SMALL = 4.0, 24
-#: Least bits of a sketch, which has as many as its set has shingles or up to twice that; rounds of comparing with one member of a list
-#: (they end early when one finds nothing; what they leave is compared whole); partners of a centre in a group.
-SKETCH_BITS, ROUNDS, FAN = 512, 5, 256
+#: Least bits of a sketch, which has as many as its set has shingles or up to twice that; most rounds of comparing with one member of a list,
+#: which end early after one that links fewer than one set in QUIET (what they leave is compared whole); partners of a centre in a group.
+SKETCH_BITS, ROUNDS, QUIET, FAN = 512, 8, 1000, 256
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -294,11 +294,11 @@ class JaccardJoin:
 
     def post(self) -> None:
         work = self.work
-        total, apart = self.docs.count(), self.nodes.count()
+        total, self.apart = self.docs.count(), self.nodes.count()
         mine = self.rows.select("row", "text")
-        if total > apart:
+        if total > self.apart:
             others = self.docs.select("row").join(self.nodes.select(F.col("node").alias("row")), "row", "left_anti")
-            mine = mine.join(F.broadcast(others) if total - apart <= BROADCAST_KEYS else others, "row", "left_anti")
+            mine = mine.join(F.broadcast(others) if total - self.apart <= BROADCAST_KEYS else others, "row", "left_anti")
         posted = work.save(mine.mapInArrow(_posted(self.width, self.percent, self.boundary, self.frequent), "sh long, row long, n int, pos int, small boolean, sketch binary"), "posted")
         self.sketches = work.save(posted.filter("sh is null").select(F.col("row").alias("node"), "n", "sketch").dropDuplicates(["node"]), "sketches")
         entries = posted.filter("sh is not null").select("sh", "row", "n", "pos", F.col("small").cast("int").alias("small"))
@@ -339,7 +339,7 @@ class JaccardJoin:
             links = found if links is None else links.union(found)
             part_of = components(links, work, f"components-{step}")
             lists = self._open_lists(lists, part_of, f"lists-{step}")
-            if step and found.isEmpty():
+            if step and found.count() * QUIET < self.apart:
                 break
         # whatever is still in different components of a list: its largest component's members only meet the others
         tagged = self._tagged(lists)
