@@ -27,8 +27,12 @@ MARK = "▁"
 LONGEST, ROUNDS, SAMPLE = 8, 3, 6000
 #: Weight of the pooled distribution in each language's, and the least probability of a character.
 POOL, FLOOR = 200.0, 1e-9
-#: Longest word handled by arrays; longer ones go through a scaled scalar pass.
+#: Longest word scored by arrays; longer ones go through a scalar pass, which gives the same.
 ARRAY_WORD = 40
+#: After how many characters sums are scaled: FLOOR to this power is far above what a double can hold.
+SCALED = 16
+#: Characters of words that are looked up at once.
+CELLS = 1 << 18
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 300_000
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -52,6 +56,14 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _across(inverse: list[np.ndarray], i: int, j: int, rows: np.ndarray):
+    """The scaling between two places: the product of the inverse scales after i, up to j."""
+    out = 1.0
+    for b in range(i // SCALED, j // SCALED):
+        out = out * inverse[b][rows]
+    return out
+
+
 class Pieces:
     """The vocabulary as sorted hashes by length, and a piece for each character outside it (the last one)."""
 
@@ -74,49 +86,79 @@ class Pieces:
                 order = np.argsort(h)
                 self.tables[n] = (h[order], np.array(own)[order])
 
-    def spans(self, words: list[str]) -> tuple[int, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-        """For words of one length: their length with the mark, and (from, to, rows, piece) for each span with pieces."""
+    def spans(self, words: list[str], backwards: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For words of one length, with the mark: (from, to, rows, piece) for each span with pieces, by rising `to`."""
         n = len(words[0]) + 1
-        codes = np.array([MARK + w for w in words], dtype=f"U{n}").view(np.uint32).reshape(len(words), n)
-        out = []
-        for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                hashes, ids = self.tables.get(j - i, (None, None))
+        codes = np.array([MARK + w for w in words], dtype=f"U{n}").view(np.uint32).reshape(len(words), n).T.astype(np.uint64) + U64(1)
+        ends = range(0, n, max(1, CELLS // len(words)))
+        for low in reversed(ends) if backwards else ends:
+            high = min(n, low + ends.step)
+            first, out = max(0, low + 1 - LONGEST), []
+            h = np.zeros((high - first, len(words)), dtype=np.uint64)
+            for size in range(1, min(LONGEST, high - first) + 1):
+                h = (h[: high - first - size + 1] + codes[first + size - 1 : high]) * _MULT
+                hashes, ids = self.tables.get(size, (None, None))
                 if hashes is None:
                     continue
-                h = _hashes(codes[:, i:j])
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[at] == h
-                piece = np.where(hit, ids[at], self.unknown) if j - i == 1 else ids[at]
-                rows = np.arange(len(words)) if j - i == 1 else np.flatnonzero(hit)
-                if len(rows):
-                    out.append((i, j, rows, piece[rows]))
-        return n, out
+                start = max(first, low + 1 - size)
+                found = mix(h[start - first :])
+                at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                hit = hashes[at] == found
+                if size == 1:
+                    every = np.arange(len(words))
+                    out += [(start + k, start + k + 1, every, piece) for k, piece in enumerate(np.where(hit, ids[at], self.unknown))]
+                    continue
+                for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                    rows = np.flatnonzero(hit[k])
+                    out.append((start + k, start + k + size, rows, ids[at[k, rows]]))
+            out.sort(key=lambda s: s[1], reverse=backwards)
+            yield from out
+
+    def _alpha(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sums over the segmentations up to each place, divided by their value at every SCALED-th, and what 1 over these is."""
+        alpha, inverse, at = np.zeros((len(words[0]) + 2, len(words), p.shape[1])), [], 0
+        alpha[0] = 1.0
+
+        def scale(j: int) -> None:
+            if j and j % SCALED == 0:
+                inverse.append(1.0 / np.maximum(alpha[j], 1e-300))
+                alpha[j] *= inverse[-1]
+
+        for i, j, rows, piece in self.spans(words):
+            if j != at:
+                scale(at)
+                at = j
+            alpha[j, rows] += alpha[i, rows] * p[piece] * _across(inverse, i, j - 1, rows)
+        scale(at)
+        return alpha, inverse
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability (words, languages) of words of one length; p: (pieces + 1, languages)."""
-        n, spans = self.spans(words)
-        alpha = np.zeros((n + 1, len(words), p.shape[1]))
-        alpha[0] = 1.0
-        for i, j, rows, piece in spans:
-            alpha[j, rows] += alpha[i, rows] * p[piece]
-        return np.log(alpha[n])
+        alpha, inverse = self._alpha(words, p)
+        return np.log(alpha[-1]) - sum(map(np.log, inverse))
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
         """Add to total (pieces + 1, languages) how often each piece is expected in the words; counts: (words, languages)."""
-        n, spans = self.spans(words)
-        alpha, beta = np.zeros((n + 1, len(words), p.shape[1])), np.zeros((n + 1, len(words), p.shape[1]))
-        alpha[0] = beta[n] = 1.0
-        for i, j, rows, piece in spans:
-            alpha[j, rows] += alpha[i, rows] * p[piece]
-        for i, j, rows, piece in sorted(spans, key=lambda s: -s[0]):
-            beta[i, rows] += beta[j, rows] * p[piece]
-        share = counts / np.maximum(alpha[n], 1e-300)
-        for i, j, rows, piece in spans:
-            got = alpha[i, rows] * p[piece] * beta[j, rows] * share[rows]
+        alpha, inverse = self._alpha(words, p)
+        beta, held, n = np.zeros_like(alpha), [], 0
+        beta[-1] = counts / np.maximum(alpha[-1], 1e-300)
+
+        def add() -> None:
+            piece, got = (np.concatenate(x) for x in zip(*held))
             for k in range(p.shape[1]):
                 total[:, k] += np.bincount(piece, got[:, k], minlength=len(total))
 
+        for i, j, rows, piece in self.spans(words, backwards=True):
+            step = p[piece] * beta[j, rows] * _across(inverse, i, j, rows)
+            beta[i, rows] += step
+            held.append((piece, alpha[i, rows] * step))
+            n += len(rows)
+            if n > CELLS:
+                add()
+                held, n = [], 0
+        if held:
+            add()
+
     def long_word(self, word: str, p: np.ndarray) -> np.ndarray:
         """Log probability by language of a word of any length, scaled at each character."""
         index = {x: i for i, x in enumerate(self.pieces)} if not hasattr(self, "_index") else self._index
@@ -154,9 +196,10 @@ def _learned(path: str, langs: list[str], p: np.ndarray | None):
         counts = [Counter() for _ in langs]
 
         def add() -> None:
-            for group in by_length([w for w in set().union(*counts) if len(w) <= ARRAY_WORD]).values():
-                for k in range(0, len(group), 4096):
-                    part = group[k : k + 4096]
+            for group in by_length(list(set().union(*counts))).values():
+                size = max(1, min(4096, CELLS // len(group[0])))
+                for k in range(0, len(group), size):
+                    part = group[k : k + size]
                     pieces.expected(part, np.array([[float(c[w]) for c in counts] for w in part]), now, total)
             for c in counts:
                 c.clear()

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import embedding_dedup, exact_dedup, jaccard_join, kneser_ney, language_id, mixing, secret_scan, sentence_pieces, suffix_dedup, token_store
@@ -310,6 +311,32 @@ def test_forward_sums_all_segmentations():
     assert sum(total[k, 0] * len(x) for k, x in enumerate(pieces.pieces)) + total[-1, 0] == pytest.approx(15)
 
 
+@pytest.mark.parametrize("n", [*range(30, 50), 5000])
+def test_long_words_of_unseen_letters(n):
+    pieces = language_id.Pieces(["▁", "a", "b", "ab"])
+    p = np.full((len(pieces.pieces) + 1, 3), language_id.FLOOR)
+    p[-1, 1] *= 2
+    want = (n + 1) * math.log(language_id.FLOOR) + np.array([0, n * math.log(2), 0])
+    assert np.allclose(pieces.forward(["z" * n], p)[0], want) and np.allclose(pieces.long_word("z" * n, p), want)
+    total = np.zeros_like(p)
+    pieces.expected(["z" * n], np.array([[3.0, 2.0, 0.0]]), p, total)
+    assert np.allclose(total[-1], [3 * n, 2 * n, 0])
+    mixed = "zab" * (n // 3)
+    assert np.allclose(pieces.forward([mixed], p)[0], pieces.long_word(mixed, p))
+    total[:] = 0
+    pieces.expected([mixed], np.array([[1.0, 1.0, 1.0]]), p, total)
+    assert np.allclose(sum(total[k] * len(x) for k, x in enumerate(pieces.pieces)) + total[-1], len(mixed) + 1)
+
+
+def test_long_words_teach():
+    words = ["".join("abcdefgh"[(k * k + n) % 8] for k in range(n)) for n in (5, 40, 41, 300)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["x", "y", "x", "y"], "text": words})
+    pieces = language_id.Pieces.of(Q.PIECES)
+    got = next(language_id._learned(Q.PIECES, ["x", "y"], None)(iter([batch]))).to_pylist()
+    size = lambda k: len((pieces.pieces + ["?"])[k])
+    assert [sum(r["n"] * size(r["piece"]) for r in got if r["lang"] == k) for k in (0, 1)] == pytest.approx([5 + 41 + 2, 40 + 300 + 2])
+
+
 def test_language_held_out(spark, work):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(df, work, Q.PIECES).join(df.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
