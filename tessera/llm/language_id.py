@@ -25,6 +25,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Longest piece that is used, rounds of learning, and about how many documents they see (taken by a hash of the id).
 LONGEST, ROUNDS, SAMPLE = 8, 3, 6000
+#: About how many documents of each language they see at least; all of a language that has no more.
+PER_LANGUAGE = 1500
 #: Weight of the pooled distribution in each language's, and the least probability of a character.
 POOL, FLOOR = 200.0, 1e-9
 #: Longest word scored by arrays; longer ones go through a scalar pass, which gives the same.
@@ -220,7 +222,8 @@ def _learned(path: str, langs: list[str], p: np.ndarray | None):
 def learn(df: DataFrame, work: Workspace, model_path: str, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and (pieces + 1, languages) probabilities, from rows outside the held-out fold.
 
-    Of those rows with a language, about SAMPLE are used: those whose CRC-32 falls below a share of its range.
+    Of those rows with a language, about SAMPLE are used, but of each language about PER_LANGUAGE at least: those whose
+    CRC-32 falls below their language's share of its range.
     """
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), crc.alias("crc")).filter(F.col("lang").isNotNull() & (F.col("crc") % folds != 0))
@@ -229,8 +232,10 @@ def learn(df: DataFrame, work: Workspace, model_path: str, folds: int = 5, id_co
     size = len(Pieces.of(model_path).pieces) + 1
     if not langs:
         return [], np.zeros((size, 0))
-    share = min(1.0, SAMPLE / sum(r["count"] for r in seen))
-    sample = work.save(rows.filter(F.col("crc") <= F.lit(int(share * 2**32))).select("text", "lang"), "sample")
+    share = SAMPLE / sum(r["count"] for r in seen)
+    below = {r["lang"]: int(min(1.0, max(share, PER_LANGUAGE / r["count"])) * 2**32) for r in seen}
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
+    sample = work.save(rows.filter(F.col("crc") <= bound).select("text", "lang"), "sample")
     p = None
     for _ in range(ROUNDS):
         got = sample.mapInArrow(_learned(model_path, langs, p), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()

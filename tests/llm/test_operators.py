@@ -344,6 +344,14 @@ def test_language_held_out(spark, work):
     assert len(got) > 150 and sum(r["lang"] == r["lang_pred"] for r in told) / len(got) > 0.95
 
 
+def test_rare_language_is_learned(spark, work, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 30)
+    rows = [(k, ["the house and the garden", "das haus und der garten", "la maison et le jardin"][k % 3], ["en", "de", "fr"][k % 3]) for k in range(900)]
+    rows += [(k, ["το σπίτι και ο κήπος", "дом и большой сад"][k % 2], ["el", "ru"][k % 2]) for k in range(1000, 1020)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), work, Q.PIECES).collect()
+    assert bag((r["doc_id"], r["lang_pred"]) for r in got) == bag((i, lang) for i, _, lang in rows) and all(r["score"] > 0.9 for r in got)
+
+
 def test_language_hard(hard, work):
     got = language_id.identify(hard, work, Q.PIECES).collect()
     assert bag((r["doc_id"], r["held_out"]) for r in got) == bag((i, zlib.crc32(str("null" if i is None else i).encode()) % 5 == 0) for i, _ in pairs(hard))
