@@ -23,8 +23,8 @@ from ._work import Workspace
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Longest piece that is used, rounds of learning, and about how many documents they see (taken by a hash of the id).
-LONGEST, ROUNDS, SAMPLE = 8, 3, 6000
+#: Rounds of learning, and about how many documents they see (taken by a hash of the id).
+ROUNDS, SAMPLE = 3, 6000
 #: About how many documents of each language they see at least; all of a language that has no more.
 PER_LANGUAGE = 1500
 #: Weight of the pooled distribution in each language's, and the least probability of a character.
@@ -41,13 +41,13 @@ _MULT = U64(0x9E3779B97F4A7C15)
 
 
 def read_pieces(model_path: str) -> list[str]:
-    """Pieces of lower-case letters, with or without the mark, up to LONGEST characters."""
+    """Pieces of lower-case letters, with or without the mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
     low = {p.lower() for p in found}
-    return sorted(p for p in low if 0 < len(p) <= LONGEST and (p.strip(MARK) == "" and len(p) == 1 or LETTERS.fullmatch(p.removeprefix(MARK))))
+    return sorted(p for p in low if p and (p.strip(MARK) == "" and len(p) == 1 or LETTERS.fullmatch(p.removeprefix(MARK))))
 
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
@@ -79,9 +79,9 @@ class Pieces:
         return cls._loaded[path]
 
     def __init__(self, pieces: list[str]) -> None:
-        self.pieces, self.unknown = pieces, len(pieces)
+        self.pieces, self.unknown, self.longest = pieces, len(pieces), max(map(len, pieces), default=1)
         self.tables = {}
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             own = [i for i, p in enumerate(pieces) if len(p) == n]
             if own:
                 h = _hashes(np.array([pieces[i] for i in own], dtype=f"U{n}").view(np.uint32).reshape(len(own), n))
@@ -95,9 +95,9 @@ class Pieces:
         ends = range(0, n, max(1, CELLS // len(words)))
         for low in reversed(ends) if backwards else ends:
             high = min(n, low + ends.step)
-            first, out = max(0, low + 1 - LONGEST), []
+            first, out = max(0, low + 1 - self.longest), []
             h = np.zeros((high - first, len(words)), dtype=np.uint64)
-            for size in range(1, min(LONGEST, high - first) + 1):
+            for size in range(1, min(self.longest, high - first) + 1):
                 h = (h[: high - first - size + 1] + codes[first + size - 1 : high]) * _MULT
                 hashes, ids = self.tables.get(size, (None, None))
                 if hashes is None:
@@ -168,13 +168,13 @@ class Pieces:
         text, alphas, log = MARK + word, [np.ones(p.shape[1])], np.zeros(p.shape[1])
         for j in range(1, len(text) + 1):
             now = np.zeros(p.shape[1])
-            for i in range(max(0, j - LONGEST), j):
+            for i in range(max(0, j - self.longest), j):
                 k = index.get(text[i:j], self.unknown if j - i == 1 else None)
                 if k is not None:
                     now += alphas[i - j] * p[k]
             scale = np.maximum(now, 1e-300)
             log += np.log(scale)
-            alphas = [a / scale for a in alphas[-(LONGEST - 1) :]] + [now / scale]
+            alphas = [a / scale for a in alphas[-self.longest :]] + [now / scale]
         return log
 
 

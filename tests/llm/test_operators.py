@@ -311,6 +311,22 @@ def test_forward_sums_all_segmentations():
     assert sum(total[k, 0] * len(x) for k, x in enumerate(pieces.pieces)) + total[-1, 0] == pytest.approx(15)
 
 
+def test_pieces_of_every_length():
+    found = language_id.read_pieces(Q.PIECES)
+    assert len(found) == 23960 and max(map(len, found)) == 16
+    pieces = language_id.Pieces(found)
+    p = np.full((len(found) + 1, 2), 1e-9)
+    whole = [x for x in found if len(x) > 8 and x[0] == "▁"]
+    assert len(whole) > 1000
+    for x in whole[::100]:
+        p[found.index(x)] = 0.5
+        assert np.allclose(pieces.forward([x[1:]], p), math.log(0.5)) and np.allclose(pieces.long_word(x[1:], p), math.log(0.5))
+        total = np.zeros_like(p)
+        pieces.expected([x[1:]], np.ones((1, 2)), p, total)
+        assert np.allclose(total[found.index(x)], 1)
+        p[found.index(x)] = 1e-9
+
+
 @pytest.mark.parametrize("n", [*range(30, 50), 5000])
 def test_long_words_of_unseen_letters(n):
     pieces = language_id.Pieces(["▁", "a", "b", "ab"])
