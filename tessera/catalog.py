@@ -113,6 +113,11 @@ def join_full(t):
     return t("supplier").select("s_suppkey", "s_name").join(t("customer").filter(col("c_custkey") % 3 == 0).select("c_custkey", "c_name"), left_on="s_suppkey", right_on="c_custkey", how="full")
 
 
+@query("SELECT s.s_suppkey, s.s_name, c.c_key, c.c_name FROM supplier s FULL JOIN (SELECT c_custkey + 5 AS c_key, c_name FROM customer) c ON s.s_suppkey = c.c_key")
+def join_full_shifted(t):
+    return t("supplier").select("s_suppkey", "s_name").join(t("customer").select((col("c_custkey") + 5).alias("c_key"), "c_name"), left_on="s_suppkey", right_on="c_key", how="full")
+
+
 @query("SELECT n_name, r_name FROM nation, region")
 def join_cross(t):
     return t("nation").select("n_name").join(t("region").select("r_name"), how="cross")
