@@ -28,6 +28,18 @@ def mapped(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype=dtype)
 
 
+def narrow(array: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold the largest of them."""
+    most = int(array.max()) if array.size else 0
+    return array.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if most < 1 << (8 * k)))
+
+
+def numbers(uri: str, n: int) -> np.ndarray:
+    """A file of n such counts."""
+    store, path = fs.FileSystem.from_uri(uri)
+    return mapped(uri, f"<u{store.get_file_info(path).size // n}") if n else np.zeros(0, dtype=np.int64)
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, the first sorted: it goes as differences, all byte by byte, compressed."""
     out = [np.diff(arrays[0], prepend=arrays[0].dtype.type(0)), *arrays[1:]]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _RNG = np.random.default_rng(20240229)
 BYTE_HASH = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-LOWER_HASH = BYTE_HASH[LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -37,12 +37,30 @@ def claim(owner: str, release=None) -> None:
     _powers.clear()
     _holder = (owner, release)
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that waits for its next task holds none."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         return  # another C library, which keeps freed memory as it likes
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back when it ends, however it ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     got = _powers.get(inverse)
@@ -105,19 +123,52 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_HASH) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
+def rolling_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever the span stands.
+
+    It is a polynomial, cheap for spans that overlap; unequal spans with one hash are easily made, so it may only bring
+    spans together that are compared by their bytes afterwards.
+    """
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(n), out=sums[1:])
+    np.cumsum(BYTE_HASH[data] * powers(n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(n + 1, inverse=True)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word, A-Z read as a-z."""
+def ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 bytes of each span, and the 8 after them, as little-endian integers; zeros beyond its end."""
+    size, padded = ends - starts, np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    near = np.lib.stride_tricks.sliding_window_view(padded, 8)
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        keep = np.where(left >= 8, ~U64(0), (U64(1) << (np.clip(left, 0, 7) * 8).astype(np.uint64)) - U64(1))
+        return near[at].copy().view("<u8").ravel() & keep
+
+    return eight(starts, size), eight(np.minimum(starts + 8, len(data)), size - 8)
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each span: its bytes and length themselves up to 15 bytes, else its BLAKE2b."""
+    size = ends - starts
+    hi, lo = ends_of(data, starts, ends)
+    lo |= np.minimum(size, 255).astype(np.uint64) << U64(56)
+    for i in np.flatnonzero(size > 15).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        hi[i], lo[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | 0xFF << 56
+    return hi, lo
+
+
+def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 128 bits and the row of every word, A-Z read as a-z."""
     s, e, row = words(data, offsets)
-    return span_hashes(data, s, e, LOWER_HASH), row
+    return *span_ids(LOWER[data], s, e), row
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes, each of all 128 bits, and the row of every word, A-Z read as a-z."""
+    hi, lo, row = word_ids(data, offsets)
+    return mix(hi ^ mix(lo ^ U64(0x9FB21C651E98DF25))), mix(lo ^ mix(hi ^ U64(0x2545F4914F6CDD1D))), row
 
 
 def shingle_hashes(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +200,15 @@ def shingle_hashes(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarr
     return out, rows
 
 
+def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) inside consecutive groups of these sizes."""
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(start)) - start
+    i = np.repeat(np.arange(len(start)), np.repeat(sizes, sizes) - 1 - place)
+    first = np.cumsum(np.bincount(i, minlength=len(start))) - np.bincount(i, minlength=len(start))
+    return i, i + 1 + np.arange(len(i)) - first[i]
+
+
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values are in the sorted array."""
     if not len(ordered):

@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import tidy
 from ._work import Workspace
 
+#: Edges, once every task has shrunk its own to a forest, that one task finishes (16 MB); beyond it stars alternate.
+FEW = 1 << 20
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars (node, smallest node) with the same components as the edges."""
@@ -45,16 +49,25 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(h) for h in forest(*held)], ["u", "v"])
 
 
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*held)))], ["u", "v"])
+
+
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, component_id) for every node of edges (a, b: long): component_id is the smallest node reachable.
 
     Self-loops and nulls are ignored; an empty table gives an empty result. Nodes without an edge aren't listed.
-    Each task first replaces its edges by stars with the same components, so that few rounds remain.
+    Each task first replaces its edges by stars with the same components. Up to FEW of them are finished by one task.
     """
     pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).filter("u <> v")
-    now = work.save(pairs.mapInArrow(_shrink, "u long, v long"), f"{name}-0")
+    now = work.save(pairs.mapInArrow(tidy(_shrink), "u long, v long"), f"{name}-0")
     mark, step = None, 0
-    while True:
+    few = now.count() <= FEW
+    if few:
+        now = work.save(now.coalesce(1).mapInArrow(_finished, "u long, v long"), f"{name}-1")
+    while not few:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

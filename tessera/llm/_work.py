@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 1_000_000
 
 #: Bytes of one Arrow batch sent to a Python worker; keeps long texts from piling up in one batch.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
+
+#: Bytes of a row group, which a writer holds in memory until it is full.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or, only where that is unset, a folder of our own."""
+    """The folder all executors share: `spark.checkpoint.dir`; only where that is unset and there is but this machine,
+    as in tests, a folder of our own."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -57,9 +63,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.mode("overwrite").options(**options).parquet(self.path(name))
+        df.write.mode("overwrite").options(**{"parquet.block.size": str(ROW_GROUP_BYTES), **options}).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def numbered(self, df: DataFrame, row: str, name: str = "numbered") -> DataFrame:
+        """df with a number of its own for each row, written so that it never changes."""
+        return self.save(df.withColumn(row, F.monotonically_increasing_id()), name, compression="zstd")
+
     def drop(self, name: str) -> None:
         _remove(self.spark, self.path(name))
 
@@ -75,10 +85,12 @@ def as_bytes(column: str = "text"):
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of df whose `on` is among keys: broadcast up to BROADCAST_KEYS keys, else by shuffle."""
-    keys = keys.select(on).distinct()
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, on, "left_semi")
+    return df.join(small_side(keys.select(on).distinct()), on, "left_semi")
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """Ids or 64-bit keys, a few in a row, to be broadcast where there are up to BROADCAST_KEYS rows of them."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
 def per_gb_partitions(spark: SparkSession) -> int:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import pairs_within, tidy
 from ._components import components, forest
 from ._work import Workspace, per_gb_partitions
 
@@ -80,15 +81,6 @@ def _hashed(bits: int, tables: int):
     return run
 
 
-def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i < j) inside consecutive groups of these sizes."""
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(start)) - start
-    i = np.repeat(np.arange(len(start)), np.repeat(sizes, sizes) - 1 - place)
-    first = np.cumsum(np.bincount(i, minlength=len(start))) - np.bincount(i, minlength=len(start))
-    return i, i + 1 + np.arange(len(i)) - first[i]
-
-
 def _linked(threshold: float):
     """Rows come sorted by group; a group that a batch may cut is kept until it's whole (two blocks at most)."""
 
@@ -115,7 +107,7 @@ def _linked(threshold: float):
                     continue
                 take = np.concatenate([np.arange(first[g], first[g] + sizes[g]) for g in small])
                 u = unit(np.stack([x[k] for k in take]))
-                a, b = _pairs_within(sizes[small])
+                a, b = pairs_within(sizes[small])
                 for k in range(0, len(a), 1 << 16):
                     i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
                     hit = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
@@ -161,13 +153,13 @@ def near_duplicates(df: DataFrame, work: Workspace, threshold: float = 0.98, id_
     """
     parts = per_gb_partitions(work.spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
-    keyed = work.save(rows.mapInArrow(_prepared, "id long, label string, key binary, vec binary"), "vectors")
+    keyed = work.save(rows.mapInArrow(tidy(_prepared), "id long, label string, key binary, vec binary"), "vectors")
     reps = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec"))
     reps = work.save(reps, "representatives")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, threshold)
 
-    hashed = work.save(reps.mapInArrow(_hashed(bits, tables), "key binary, rep long, n long, label string, vec binary, codes binary, hashes array<long>"), "hashed")
+    hashed = work.save(reps.mapInArrow(tidy(_hashed(bits, tables)), "key binary, rep long, n long, label string, vec binary, codes binary, hashes array<long>"), "hashed")
     placed = hashed.select("rep", F.xxhash64("label", F.octet_length("vec")).alias("kind"), F.posexplode("hashes").alias("t", "h"))
     full = placed.groupBy("kind", "t", "h").agg(F.count("*").alias("size")).filter("size > 1")
     wanted = placed.join(full, ["kind", "t", "h"])
@@ -176,7 +168,7 @@ def near_duplicates(df: DataFrame, work: Workspace, threshold: float = 0.98, id_
     wanted = wanted.select("rep", "t", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.xxhash64("kind", "t", "h", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
     carried = wanted.join(hashed.select("rep", "n", "vec", "codes"), "rep")
     grouped = carried.repartition(parts, "group").sortWithinPartitions("group")
-    found = work.save(grouped.mapInArrow(_linked(threshold), "a long, b long, links long"), "found")
+    found = work.save(grouped.mapInArrow(tidy(_linked(threshold)), "a long, b long, links long"), "found")
 
     links = found.filter("links is not null").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("rep"), "links")
     parents = components(found.filter("b is not null"), work, "components").select(F.col("id").alias("rep"), "component_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, fresh
+from ._bytes import U64, fresh, tidy
 from ._work import Workspace, as_bytes, per_gb_partitions, semi_join
 
 #: Rows whose fingerprints one task holds before it packs them.
@@ -136,12 +136,12 @@ def exact_dedup(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
     shift = 64 - blocks
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = df.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
-    digested = work.save(rows.mapInArrow(_digests(shift), "row long, id long, fp long, sha string, block long, filter binary"), "digests")
+    digested = work.save(rows.mapInArrow(tidy(_digests(shift)), "row long, id long, fp long, sha string, block long, filter binary"), "digests")
     docs = digested.filter("block is null").select("row", "id", "fp", "sha")
     filters = digested.filter("block is not null").select("block", "filter")
     repeated = work.save(filters.groupBy("block").applyInPandas(_repeated(shift), "fp long"), "repeated")
 
-    texts = df.select(as_bytes(text_col).alias("text")).mapInArrow(_normalised, "fp long, norm binary")
+    texts = df.select(as_bytes(text_col).alias("text")).mapInArrow(tidy(_normalised), "fp long, norm binary")
     classes = semi_join(texts, repeated, "fp").groupBy("fp", "norm").agg(F.count("*").alias("n")).select("fp", F.sha2("norm", 256).alias("sha"), "n")
     groups = semi_join(docs, repeated, "fp").groupBy("fp", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("keep"))
     groups = groups.join(classes, ["fp", "sha"]).select("fp", "sha", "keep", "n")

@@ -8,8 +8,11 @@ shingles, which any partner must share one of, in an order that puts shingles fo
 what is scanned, never what is found.
 
 Equal sets are one set. Lists are joined in steps, so that a list of near copies never gives all its pairs: every member
-is compared with one member of its list, those outside a list's largest component then with members of that, the nearest
-of several in each round, and only members of components still apart are compared all with all. Candidates pass a bit-sketch bound and are verified by exact overlap of their 64-bit shingle hashes.
+is first compared with one member of its list. Where members of a list are then still in different components, each
+outside the list's largest component meets the NEAREST few, by sketches, of every other component in the list; only if
+sketches leave more of them open do those follow. Lists of shingles known to be frequent are dealt in blocks of about
+SPLIT entries, and blocks meet in pairs. Candidates pass a bit-sketch bound and are verified by exact overlap of their
+64-bit shingle hashes; sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,19 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, chunks, claim, fresh, member, mix, shingle_hashes, word_hashes
+from ._bytes import U64, chunks, claim, fresh, member, mix, pairs_within, shingle_hashes, tidy, word_hashes
 from ._components import components
-from ._work import BROADCAST_KEYS, Workspace, as_bytes, per_gb_partitions, semi_join
+from ._work import BROADCAST_KEYS, Workspace, as_bytes, per_gb_partitions, small_side
 
 #: Most shingles in the table of frequent ones, which is broadcast (16 MB), and the least count to be in it.
 FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 #: Shingles that a task counts at once.
-FLUSH = 3 << 20
-#: What an entry of an inverted list costs, as a multiple of a subset; sizes above MOST_SMALL are never small.
-SCAN_COST, MOST_SMALL = 4.0, 24
-#: Least bits of a sketch, which has as many as its set has shingles or up to twice that; most rounds of comparing with one member of a list,
-#: which end early after one that links fewer than one set in QUIET (what they leave is compared whole); partners of a centre in a group.
-SKETCH_BITS, ROUNDS, QUIET, FAN = 512, 8, 1000, 256
+FLUSH = 1 << 20
+#: What an entry of an inverted list costs besides the entries that it meets, as a multiple of a subset; sizes above MOST_SMALL are never small.
+SCAN_COST, MOST_SMALL = 3.0, 24
+#: Least bits of a sketch, which has as many as its set has shingles or up to twice that.
+SKETCH_BITS = 512
+#: Entries of a list's block; members of another component that an entry meets first; groups of entries up to
+#: which all pairs of a batch's groups are looked at together.
+SPLIT, NEAREST, TOGETHER = 4096, 16, 64
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -57,12 +62,13 @@ def subset_sizes(n: int, boundary: int, percent: int) -> list[tuple[int, int, in
     return out
 
 
-def boundary_by_cost(sizes: dict[int, int], percent: int) -> int:
-    """The largest size up to which subsets cost no more than scans would, given how many sets have each size."""
+def boundary_by_cost(sizes: dict[int, int], percent: int, length: float = 1.0) -> int:
+    """The largest size up to which subsets cost no more than scans would, given how many sets have each size and the
+    mean length of the lists that entries stand in."""
     best = 0
     for x in range(1, MOST_SMALL + 1):
         listed = sum(k * sum(math.comb(n, c) for _, _, c in subset_sizes(n, x, percent)) for n, k in sizes.items() if n <= x)
-        scanned = sum(k * int(prefix_length(np.int64(n), percent)) * SCAN_COST for n, k in sizes.items() if n <= x)
+        scanned = sum(k * int(prefix_length(np.int64(n), percent)) * (SCAN_COST + length) for n, k in sizes.items() if n <= x)
         if listed > scanned:
             break
         best = x
@@ -71,7 +77,8 @@ def boundary_by_cost(sizes: dict[int, int], percent: int) -> int:
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each row, and their rows."""
-    h, row = shingle_hashes(*word_hashes(data, offsets), width)
+    h, _, row = word_hashes(data, offsets)
+    h, row = shingle_hashes(h, row, width)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), dtype=bool)
@@ -79,6 +86,19 @@ def distinct_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tupl
     return h[new], row[new]
 
 
+def set_keys(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Distinct shingles and their rows as above, and for each row its set's size and 128 bits of it."""
+    first, second, words_row = word_hashes(data, offsets)
+    h, row = shingle_hashes(first, words_row, width)
+    g, _ = shingle_hashes(second, words_row, width)
+    order = np.lexsort((h, row))
+    h, g, row = h[order], g[order], row[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, g, row, rows = h[new], g[new], row[new], len(offsets) - 1
+    return h, row, np.bincount(row, minlength=rows), _sums(mix(h), row, rows).view(np.int64), _sums(mix(g), row, rows).view(np.int64)
+
+
 def _sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     out = np.zeros(rows, dtype=np.uint64)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
@@ -105,11 +125,8 @@ def _surveyed(width: int):
         for batch in batches:
             ids, rows = batch.column("id"), batch.column("row")
             for part, data, offsets in chunks(batch.column("text"), 1 << 20):
-                h, row = distinct_shingles(data, offsets, width)
-                k = part.stop - part.start
-                n = np.bincount(row, minlength=k)
-                k1, k2 = _sums(mix(h), row, k).view(np.int64), _sums(mix(h ^ U64(0xA5A5A5A5F00DFACE)), row, k).view(np.int64)
-                none = pa.nulls(k, pa.int64())
+                h, row, n, k1, k2 = set_keys(data, offsets, width)
+                none = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays([rows[part], ids[part], pa.array(n), pa.array(k1), pa.array(k2), none, none], names)
                 held.append(h)
                 size += len(h)
@@ -124,12 +141,13 @@ def _surveyed(width: int):
 
 
 def _posted(width: int, percent: int, boundary: int, frequent):
-    """Lists' entries (list, set, size, place, small: by subset) and a sketch for each set (list null)."""
+    """Lists' entries (list, set, size, place, small: by subset, block of blocks) and a sketch for each set (list null),
+    whole and folded to WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
         often, rank = frequent.value
-        names = ["sh", "row", "n", "pos", "small", "sketch"]
+        names = ["sh", *ENTRY, "sketch", *WORDS]
         for batch in batches:
             ids = batch.column("row").to_numpy()
             for part, data, offsets in chunks(batch.column("text"), 1 << 20):
@@ -139,16 +157,17 @@ def _posted(width: int, percent: int, boundary: int, frequent):
                 bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
                 base = np.concatenate([[0], np.cumsum(bits)])
                 spot = base[row] + (mix(h ^ U64(0x5EED)).view(np.int64) & (bits - 1)[row])
-                flips = np.packbits((np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
-                order_key = h >> U64(1)
+                flips = np.packbits((np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
+                order_key, blocks = h >> U64(1), np.ones(len(h), dtype=np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     order_key = np.where(often[at] == h, U64(1 << 63) | rank[at], order_key)
+                    blocks = np.where(often[at] == h, -(-rank[at].astype(np.int64) // SPLIT), 1)
                 order = np.lexsort((order_key, row))
-                h, row = h[order], row[order]
+                h, row, blocks = h[order], row[order], blocks[order]
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[row]
                 take = pos < prefix_length(n, percent)[row]
-                lists, sets, places = [h[take]], [row[take]], [pos[take]]
+                m = int(take.sum())
                 subset: list[tuple[int, int]] = []
                 for i in np.flatnonzero((n > 0) & (n <= boundary)).tolist():
                     first = int(np.searchsorted(row, i))
@@ -156,51 +175,54 @@ def _posted(width: int, percent: int, boundary: int, frequent):
                     for low, high, c in subset_sizes(int(n[i]), boundary, percent):
                         salt = U64(low << 32 | high << 16 | c)
                         subset += [(int(mix(np.array([np.add.reduce(mix(mine[list(s)])) ^ salt]))[0]), i) for s in combinations(range(len(mine)), c)]
-                m = len(lists[0])
-                if subset:
-                    lists.append(np.array([s for s, _ in subset], dtype=np.uint64))
-                    sets.append(np.array([i for _, i in subset], dtype=np.int64))
-                    places.append(np.zeros(len(subset), dtype=np.int64))
-                sh, which, place = np.concatenate(lists), np.concatenate(sets), np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(own[which]), pa.array(n[which].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(np.arange(len(sh)) >= m), pa.nulls(len(sh), pa.binary())], names)
-                blobs = [flips[a:b] for a, b in zip(base // 8, base[1:] // 8)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(own), pa.array(n.astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), pa.array(blobs, pa.binary())], names)
+                sh = np.concatenate([h[take], np.array([s for s, _ in subset], dtype=np.uint64)])
+                which = np.concatenate([row[take], np.array([i for _, i in subset], dtype=np.int64)])
+                zeros = np.zeros(len(subset), dtype=np.int64)
+                place, blocks = np.concatenate([pos[take], zeros]), np.concatenate([blocks[take], zeros + 1])
+                block = (mix(own[which].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                small = (np.arange(len(sh)) >= m).astype(np.int64)
+                entry = [sh.view(np.int64), own[which], n[which], place, small, block, blocks]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, entry), pa.nulls(len(sh), pa.binary()), *[pa.nulls(len(sh), pa.int64())] * len(WORDS)], names)
+                raw, folded = flips.tobytes(), np.zeros((0, len(WORDS)), dtype=np.int64)
+                if k:
+                    folded = np.bitwise_xor.reduceat(flips.view("<i8").reshape(-1, len(WORDS)), base[:-1] // SKETCH_BITS, axis=0)
+                blobs = [raw[a:b] for a, b in zip(base // 8, base[1:] // 8)]
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(own), pa.array(n), *[none] * 4, pa.array(blobs, pa.binary()), *[pa.array(np.ascontiguousarray(w)) for w in folded.T]], names)
 
     return run
 
 
 def _starred(percent: int, boundary: int):
-    """Of entries sorted by list, pairs (row, with) of a list's first entry with each other one that may be linked, and
-    the entries themselves (with null) of lists of more than two. At most two entries wait for the next batch."""
+    """Of entries sorted by list and block, pairs (node, with) of a block's first entry with each other one that may be
+    linked, and the entries themselves (with null) of lists of more than two. At most two entries wait for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sh", "row", "n", "pos", "small"]
-        held = [np.zeros(0, np.int64)] * 5
+        names = ["sh", *ENTRY]
+        held = [np.zeros(0, np.int64)] * len(names)
         lead = None
 
         def found(c: list[np.ndarray], last: bool) -> pa.RecordBatch:
             nonlocal held, lead
-            sh, row, n, pos, small = c
+            sh, row, n, pos, small, block, blocks = c
             m = len(sh)
             new = np.ones(m, dtype=bool)
-            new[1:] = (sh[1:] != sh[:-1]) | (small[1:] != small[:-1])
+            new[1:] = (sh[1:] != sh[:-1]) | (small[1:] != small[:-1]) | (block[1:] != block[:-1])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, m))
             group = np.cumsum(new) - 1
-            more = lead is not None and (lead[0], lead[4]) == (sh[0], small[0])
+            more = lead is not None and (lead[0], lead[4], lead[5]) == (sh[0], small[0], block[0])
             start = [x[first][group] for x in c]
             if more:
                 start = [np.where(group == 0, v, x) for v, x in zip(lead, start)]
-            big = size > 2
+            big = (size > 2) | (blocks[first] > 1)
             big[0] |= more
             keep = m
             if not last and not big[-1]:
                 keep = first[-1]
             held = [x[keep:] for x in c]
             lead = [int(x[-1]) for x in start] if keep == m and not last else None
-            need = -(-percent * (n + start[2]) // (100 + percent))
-            low, high = np.minimum(n, start[2]), np.maximum(n, start[2])
-            fits = (100 * low >= percent * high) & (np.minimum(n - pos, start[2] - start[3]) >= need) & ((small == 1) | (high > boundary))
+            fits = _fits(percent, boundary, n, pos, start[2], start[3], small)
             pair = np.flatnonzero(fits[:keep] & (row[:keep] != start[1][:keep]))
             entry = np.flatnonzero(big[group][:keep])
             out = [pa.array(np.concatenate([x[pair], x[entry]])) for x in c]
@@ -209,7 +231,7 @@ def _starred(percent: int, boundary: int):
 
         for batch in batches:
             if batch.num_rows:
-                now = [batch.column(i).cast(pa.int64()).to_numpy() for i in range(5)]
+                now = [batch.column(i).cast(pa.int64()).to_numpy() for i in range(len(names))]
                 yield found([np.concatenate([h, x]) for h, x in zip(held, now)], False)
         if len(held[0]):
             yield found(held, True)
@@ -217,12 +239,92 @@ def _starred(percent: int, boundary: int):
     return run
 
 
-def _possible(percent: int, boundary: int, a: str = "", b: str = "c_"):
-    """The size, place and kind conditions on two entries of a list."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    need = F.ceil(percent * (n + m) / (100 + percent))
-    fits = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - F.col(f"{a}pos"), m - F.col(f"{b}pos")) >= need)
-    return fits & (F.col(f"{a}small") == F.col(f"{b}small")) & (F.col(f"{a}small") | (F.greatest(n, m) > boundary))
+def _fits(percent: int, boundary: int, n, pos, m, other_pos, small):
+    """Whether the sizes, places and kind of two entries of a list allow a link."""
+    need = -(-percent * (n + m) // (100 + percent))
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    return (100 * low >= percent * high) & (np.minimum(n - pos, m - other_pos) >= need) & ((small == 1) | (high > boundary))
+
+
+def _still_apart(percent: int, boundary: int, most: int | None):
+    """Rows come sorted by group (a list, or two of its blocks): pairs (a, b) of entries in different components that
+    sizes, places and sketches allow to be linked, b outside the list's main component. With most, b meets only so many
+    of another component in the group, the nearest by sketches, and a row of nulls tells that there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(c: dict[str, np.ndarray], words: np.ndarray) -> pa.RecordBatch:
+            key = np.stack([c[k] for k in GROUP])
+            first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            sizes = np.diff(np.append(first, key.shape[1]))
+            node, n, pos, part, main = c["node"], c["n"], c["pos"], c["component_id"], c["main"]
+            hits: list[tuple[np.ndarray, ...]] = []
+
+            def look(i: np.ndarray, j: np.ndarray) -> None:
+                for k in range(0, len(i), 1 << 18):
+                    x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+                    ok = (part[x] != part[y]) & ((c["low"][x] == c["high"][x]) | (c["block"][x] != c["block"][y]))
+                    x, y = x[ok], y[ok]
+                    ok = _fits(percent, boundary, n[x], pos[x], n[y], pos[y], c["small"][x])
+                    x, y = x[ok], y[ok]
+                    differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+                    ok = differ <= n[x] + n[y] - 2 * -(-percent * (n[x] + n[y]) // (100 + percent))
+                    x, y, differ = x[ok], y[ok], differ[ok]
+                    out = (part[x] == main[x]) | ((part[y] != main[y]) & (part[x] < part[y]))
+                    hits.append((np.where(out, x, y), np.where(out, y, x), differ))
+
+            few = np.flatnonzero((sizes > 1) & (sizes <= TOGETHER))
+            for k in range(0, len(few), 512):
+                some = few[k : k + 512]
+                take = np.concatenate([np.arange(first[g], first[g] + sizes[g]) for g in some])
+                i, j = pairs_within(sizes[some])
+                look(take[i], take[j])
+            for g in np.flatnonzero(sizes > TOGETHER).tolist():
+                rows = np.arange(first[g], first[g] + sizes[g])
+                own = part[rows] == main[rows]
+                inside, outside = rows[own], rows[~own]
+                step = max(1, (1 << 18) // len(rows))
+                for k in range(0, len(outside), step):
+                    b = outside[k : k + step]
+                    look(np.repeat(b, len(inside)), np.tile(inside, len(b)))
+                    i, j = np.repeat(b, len(outside)), np.tile(outside, len(b))
+                    look(i[i < j], j[i < j])
+            a, b, differ = (np.concatenate(x) for x in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 3
+            more = False
+            if most is not None and len(a):
+                group = np.searchsorted(first, b, "right")
+                order = np.lexsort((mix((node[a] ^ node[b]).view(np.uint64)), differ, part[a], b, group))
+                a, b, group = a[order], b[order], group[order]
+                new = np.concatenate([[True], (b[1:] != b[:-1]) | (part[a][1:] != part[a][:-1])])
+                start = np.flatnonzero(new)
+                near = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < most
+                more = not near.all()
+                a, b = a[near], b[near]
+            pairs = np.unique(np.stack([node[a], node[b]]), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(int(more), pa.int64())]) for x in pairs], ["a", "b"])
+
+        held: pa.Table | None = None
+
+        def arrays(rows: pa.Table) -> pa.RecordBatch:
+            c = {k: rows.column(k).to_numpy().astype(np.int64) for k in rows.column_names if k not in WORDS}
+            return found(c, np.stack([rows.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            same = np.ones(held.num_rows, dtype=bool)
+            for k in GROUP:
+                x = held.column(k).to_numpy()
+                same &= x == x[-1]
+            whole = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
+            if whole > 4096:
+                yield arrays(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield arrays(held)
+
+    return run
 
 
 def _sets(width: int):
@@ -262,147 +364,109 @@ def _verified(percent: int):
 class JaccardJoin:
     def __init__(self, df: DataFrame, work: Workspace, width: int, percent: int, id_col: str, text_col: str, row_col: str | None) -> None:
         self.work, self.width, self.percent = work, width, percent
-        # a number that follows from the row alone, so that it's the same whenever the table is read
-        row = F.col(row_col) if row_col else F.xxhash64(F.col(id_col).cast("long"), as_bytes(text_col))
-        self.rows = df.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
+        if row_col is None:
+            # written, so that a row's number is the same whenever the table is read
+            row_col = "row"
+            df = work.numbered(df.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text")), row_col)
+            id_col, text_col = "id", "text"
+        self.rows = df.select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
         self.parts = per_gb_partitions(work.spark)
 
     def survey(self) -> None:
         work = self.work
-        found = work.save(self.rows.mapInArrow(_surveyed(self.width), "row long, id long, n long, k1 long, k2 long, sh long, seen long"), "survey")
+        found = work.save(self.rows.mapInArrow(tidy(_surveyed(self.width)), "row long, id long, n long, k1 long, k2 long, sh long, seen long"), "survey")
         self.docs = found.filter("row is not null").select("row", "id", "n", "k1", "k2")
         # a set's node is the row of its smallest id; rows without an id, or without a shingle, are nobody's partner
         nodes = self.docs.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "row")).alias("least"))
         self.nodes = work.save(nodes.select("n", "k1", "k2", F.col("least.id").alias("least_id"), F.col("least.row").alias("node")), "nodes")
-        sizes = {r["n"]: r["count"] for r in self.nodes.filter(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
-        self.boundary = boundary_by_cost(sizes, self.percent)
-        seen = work.save(found.filter("sh is not null").groupBy("sh").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= LEAST_FREQUENT), "seen")
-        left, least = FREQUENT, 64
-        for r in sorted(seen.groupBy(F.floor(F.log2("seen")).alias("level")).count().collect(), key=lambda r: -r["level"]):
-            left -= r["count"]
-            if left < 0:
+        seen = work.save(found.filter("sh is not null").groupBy("sh").agg(F.sum("seen").alias("seen")), "seen")
+        left, least, levels = FREQUENT, 64, seen.groupBy(F.floor(F.log2("seen")).alias("level")).agg(F.count("*").alias("k"), F.sum("seen").alias("s"), F.sum(F.col("seen") * F.col("seen")).alias("squares")).collect()
+        for r in sorted(levels, key=lambda r: -r["level"]):
+            left -= r["k"]
+            if left < 0 or 2 ** r["level"] < LEAST_FREQUENT:
                 break
             least = r["level"]
+        # the mean length of the lists of shingles that aren't put last, an entry of which most prefixes consist
+        sizes = {r["n"]: r["k"] for r in self.nodes.filter(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("k")).collect()}
+        total = self.docs.agg(F.sum("n")).first()[0] or 1
+        rest = [r for r in levels if r["level"] < least]
+        self.boundary = boundary_by_cost(sizes, self.percent, 1 + max(0, sum(r["squares"] - r["s"] for r in rest)) / total)
         top = seen.filter(F.floor(F.log2("seen")) >= least).toArrow()
         sh, count = top.column("sh").to_numpy().view(np.uint64), top.column("seen").to_numpy().astype(np.uint64)
         order = np.argsort(sh)
         self.frequent = work.spark.sparkContext.broadcast((sh[order], count[order]))
 
-    def texts(self, rows: DataFrame) -> DataFrame:
-        """Rows and texts of the rows listed."""
-        return semi_join(self.rows.select("row", "text"), rows, "row")
-
     def post(self) -> None:
         work = self.work
-        total, self.apart = self.docs.count(), self.nodes.count()
         mine = self.rows.select("row", "text")
-        if total > self.apart:
-            others = self.docs.select("row").join(self.nodes.select(F.col("node").alias("row")), "row", "left_anti")
-            mine = mine.join(F.broadcast(others) if total - self.apart <= BROADCAST_KEYS else others, "row", "left_anti")
-        posted = work.save(mine.mapInArrow(_posted(self.width, self.percent, self.boundary, self.frequent), "sh long, row long, n int, pos int, small boolean, sketch binary"), "posted")
-        self.sketches = work.save(posted.filter("sh is null").select(F.col("row").alias("node"), "n", "sketch").dropDuplicates(["node"]), "sketches")
-        entries = posted.filter("sh is not null").select("sh", "row", "n", "pos", F.col("small").cast("int").alias("small"))
-        met = entries.repartition(self.parts, "sh").sortWithinPartitions("sh", "small", "row").mapInArrow(_starred(self.percent, self.boundary), "sh long, row long, n long, pos long, small long, with long")
+        others = self.docs.select("row").join(self.nodes.select(F.col("node").alias("row")), "row", "left_anti")
+        mine = mine.join(small_side(work.save(others, "copies")), "row", "left_anti")
+        schema = ", ".join(f"{c} long" for c in ("sh", *ENTRY)) + ", sketch binary, " + ", ".join(f"{w} long" for w in WORDS)
+        posted = work.save(mine.mapInArrow(tidy(_posted(self.width, self.percent, self.boundary, self.frequent)), schema), "posted")
+        self.sketches = posted.filter("sh is null").select("node", "n", "sketch", *WORDS)
+        entries = posted.filter("sh is not null").select("sh", *ENTRY)
+        met = entries.repartition(self.parts, "sh", "block").sortWithinPartitions("sh", "small", "block", "node").mapInArrow(tidy(_starred(self.percent, self.boundary)), ", ".join(f"{c} long" for c in ("sh", *ENTRY, "with")))
         met = work.save(met, "met")
-        self.pairs = met.filter("with is not null").select(F.col("with").alias("a"), F.col("row").alias("b"))
-        self.lists = met.filter("with is null").select("sh", F.col("row").alias("node"), "n", "pos", (F.col("small") == 1).alias("small"))
-        work.drop("posted")
+        self.pairs = met.filter("with is not null").select(F.col("with").alias("a"), F.col("node").alias("b"))
+        self.lists = met.filter("with is null").select("sh", *ENTRY)
+
+    def near(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of candidate pairs of nodes (a, b), those whose sketches allow a link."""
+        once = self.work.save(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        one, two = (self.sketches.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s")) for x in "ab")
+        both = one.join(small_side(once), "a").join(two.join(small_side(once), "b"), ["a", "b"]).select("a", "b", "an", "bn", "as", "bs")
+        apart = F.col("an") + F.col("bn") - 2 * F.ceil(self.percent * (F.col("an") + F.col("bn")) / (100 + self.percent))
+        return both.mapInArrow(tidy(_near), "a long, b long, an long, bn long, differ int").filter(F.col("differ") <= apart).select("a", "b")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of candidate pairs of nodes (a, b), those that are linked."""
+        """Of distinct candidate pairs of nodes (a, b), those that are linked."""
         work = self.work
-        sk = self.sketches
-        a = pairs.select("a", "b").distinct()
-        a = a.join(sk.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as")), "a").join(sk.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs")), "b").select("a", "b", "an", "bn", "as", "bs")
-        apart = F.col("an") + F.col("bn") - 2 * F.ceil(self.percent * (F.col("an") + F.col("bn")) / (100 + self.percent))
-        near = work.save(a.mapInArrow(_near, "a long, b long, an int, bn int, differ int").filter(F.col("differ") <= apart).select("a", "b"), f"{name}-near")
-        wanted = near.select(F.col("a").alias("row")).union(near.select("b")).distinct()
-        sets = self.texts(wanted).mapInArrow(_sets(self.width), "row long, members binary").select(F.col("row").alias("node"), "members")
-        sets = work.save(sets.dropDuplicates(["node"]), f"{name}-sets")
-        # the node with more partners is the centre; partners of one centre fall into groups of about FAN
-        fans = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).alias("groups"))
-        dealt = near.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
-        others = dealt.join(sets.select(F.col("node").alias("b"), "members"), "b").select(F.col("a").alias("centre"), "salt", F.col("b").alias("other"), "members")
-        centres = dealt.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), "members"), "a").select(F.col("a").alias("centre"), "salt", F.lit(None).cast("long").alias("other"), "members")
-        both = others.unionByName(centres).repartition(self.parts, "centre", "salt").sortWithinPartitions("centre", "salt", F.col("other").asc_nulls_first())
-        links = work.save(both.mapInArrow(_verified(self.percent), "a long, b long"), f"{name}-links")
-        work.drop(f"{name}-sets")
-        work.drop(f"{name}-near")
-        return links
+        pairs = work.save(pairs, f"{name}-near")
+        few = 2 * pairs.count() <= BROADCAST_KEYS
+        # a centre's partners are dealt to as many groups as there are partitions at most; its set goes to each of them
+        dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(self.parts)).alias("salt"))
+        own = dealt.select("a", "salt").distinct().select(F.col("a").alias("row"), F.col("a").alias("centre"), "salt", F.lit(None).cast("long").alias("other"))
+        routes = dealt.select(F.col("b").alias("row"), F.col("a").alias("centre"), "salt", F.col("b").alias("other")).unionByName(own)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+        texts = self.rows.select("row", "text").join(F.broadcast(wanted) if few else wanted.distinct(), "row", "left_semi")
+        sets = texts.mapInArrow(tidy(_sets(self.width)), "row long, members binary")
+        sent = sets.join(F.broadcast(routes) if few else routes, "row").select("centre", "salt", "other", "members")
+        met = sent.repartition(self.parts, "centre", "salt").sortWithinPartitions("centre", "salt", F.col("other").asc_nulls_first())
+        return work.save(met.mapInArrow(tidy(_verified(self.percent)), "a long, b long"), f"{name}-links")
 
     def join(self) -> DataFrame:
         """(node, component_id) of nodes that have a link."""
         work = self.work
-        lists, links = self.lists, None
-        for step in range(ROUNDS):
-            found = self.verify(self._nearest(lists, step) if step else self.pairs, f"round-{step}")
-            links = found if links is None else links.union(found)
+        links = self.verify(self.near(self.pairs, "star"), "star")
+        for step, most in (("nearest", NEAREST), ("rest", None)):
             part_of = components(links, work, f"components-{step}")
-            lists = self._open_lists(lists, part_of, f"lists-{step}")
-            if step and found.count() * QUIET < self.apart:
+            found = work.save(self.apart(part_of, most, step), f"{step}-found")
+            links = links.unionByName(self.verify(found.filter("a is not null").distinct(), step))
+            if not found.filter("a is null").limit(1).count():
                 break
-        # whatever is still in different components of a list: its largest component's members only meet the others
-        tagged = self._tagged(lists)
-        pairs = tagged.filter("component_id <> main").join(_renamed(tagged), ["sh", "small"])
-        pairs = pairs.filter(self._apart() & ((F.col("c_component_id") == F.col("main")) | (F.col("node") < F.col("c_node"))))
-        links = links.union(self.verify(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")), "rest"))
         return components(links, work, "components").select(F.col("id").alias("node"), "component_id")
 
-    def _open_lists(self, lists: DataFrame, part_of: DataFrame, name: str) -> DataFrame:
-        """Entries of lists that hold several components, with them and with sketches; components only grow, so that a
-        list that holds one is done with."""
-        first = "component_id" not in lists.columns
-        own = lists.drop("component_id").join(part_of.select(F.col("id").alias("node"), "component_id"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-        own = self.work.save(own, f"{name}-all")
-        many = own.groupBy("sh", "small").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).filter("x <> y").select("sh", "small")
-        still = own.join(many, ["sh", "small"], "left_semi")
-        if first:
-            folded = self.sketches.select("node", "sketch").mapInArrow(_folded, "node long, " + ", ".join(f"{w} long" for w in WORDS))
-            still = still.join(folded, "node")
-        return self.work.save(still, name)
-
-    def _tagged(self, lists: DataFrame) -> DataFrame:
-        """Entries with their list's largest component, `main`."""
-        own = lists.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
-        main = own.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m")).select("sh", "small", F.col("m.component_id").alias("main"))
-        return lists.join(main, ["sh", "small"])
-
-    def _apart(self):
-        """Whether two entries of different components may be linked; sketches bound how far apart their sets are."""
-        n, m = F.col("n"), F.col("c_n")
-        bound = n + m - 2 * F.ceil(self.percent * (n + m) / (100 + self.percent))
-        return (F.col("component_id") != F.col("c_component_id")) & _possible(self.percent, self.boundary) & (_differ() <= bound)
-
-    def _nearest(self, lists: DataFrame, step: int) -> DataFrame:
-        """Pairs to compare: every entry outside its list's largest component meets one member of that, another in each
-        list and round; a node keeps the nearest that its lists name in each component."""
-        tagged = self._tagged(lists)
-        inside = tagged.filter("component_id = main").select("sh", "small", F.struct(F.xxhash64("node", "sh", F.lit(step)).alias("o"), *ENTRY).alias("c"))
-        centre = inside.groupBy("sh", "small").agg(F.min("c").alias("c")).select("sh", "small", F.col("small").alias("c_small"), *[F.col(f"c.{c}").alias(f"c_{c}") for c in ENTRY])
-        pairs = tagged.filter("component_id <> main").join(centre, ["sh", "small"]).filter(self._apart())
-        nearest = pairs.groupBy("node", "c_component_id").agg(F.min(F.struct(_differ().alias("differ"), "c_node")).alias("c"))
-        return nearest.select(F.col("c.c_node").alias("a"), F.col("node").alias("b"))
+    def apart(self, part_of: DataFrame, most: int | None, name: str) -> DataFrame:
+        """Pairs to compare, of entries of lists that hold several components. Components only grow, so that a list
+        that holds one is done with."""
+        work = self.work
+        part_of = small_side(part_of.select(F.col("id").alias("node"), "component_id"))
+        own = self.lists.join(part_of, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
+        parts = own.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
+        mains = parts.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        mains = work.save(mains.select("sh", "small", F.col("m.component_id").alias("main")), f"{name}-mains")
+        open_ = own.join(small_side(mains), ["sh", "small"])
+        self.lists = work.save(open_.select("sh", *ENTRY, "component_id", "main"), f"{name}-lists")
+        other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block")))
+        met = self.lists.withColumn("beside", other).withColumns({"low": F.least("block", "beside"), "high": F.greatest("block", "beside")}).join(self.sketches.select("node", *WORDS), "node")
+        self.lists = self.lists.select("sh", *ENTRY)
+        met = met.select("sh", "small", "low", "high", "node", "n", "pos", "block", "component_id", "main", *WORDS)
+        return met.repartition(self.parts, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(tidy(_still_apart(self.percent, self.boundary, most)), "a long, b long")
 
 
 WORDS = [f"w{k}" for k in range(SKETCH_BITS // 64)]
-ENTRY = ["node", "n", "pos", "component_id", *WORDS]
-
-
-def _renamed(entries: DataFrame) -> DataFrame:
-    return entries.select("sh", "small", F.col("small").alias("c_small"), *[F.col(c).alias(f"c_{c}") for c in ENTRY])
-
-
-def _differ():
-    """In how many bits the folded sketches of two entries differ."""
-    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"c_{w}"))) for w in WORDS), F.lit(0))
-
-
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches folded to SKETCH_BITS, as words."""
-    for batch in batches:
-        raws = [np.frombuffer(x, "<i8").reshape(-1, len(WORDS)) for x in batch.column("sketch").to_pylist()]
-        words = np.array([np.bitwise_xor.reduce(x, axis=0) for x in raws], dtype=np.int64).reshape(-1, len(WORDS))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(WORDS))]], ["node", *WORDS])
+ENTRY = ["node", "n", "pos", "small", "block", "blocks"]
+GROUP = ["sh", "small", "low", "high"]
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,10 @@ Counting runs in Spark over all training texts. Each task sorts and counts what
 compressed block of sorted keys; a bucket's blocks are merged into sorted arrays, which are written as flat files to the
 shared folder. Workers map those files into memory and look words and bigrams up by binary search.
 
-Files: words-<b>: sorted 64-bit word hashes, whose place (with the words of earlier buckets) is the word's id;
-counts-<b>: their training counts; stats-<b>: per id, how many different words it follows, its count as a context, and
+Files: words-<b>: 64-bit hashes of words, sorted, whose place (with the words of earlier buckets) is the word's id;
+names-<b>: the 128 bits that tell a word from all others; counts-<b>: their training counts; stats-<b>: per id, how many different words it follows, its count as a context, and
 its followers seen once, twice, and more often; pairs-<b>, times-<b>: sorted keys (id << 32 | next id) and their counts.
-The contexts of a bucket are those whose id hashes to it; a context with many rows is spread by the next word too.
+Counts take the fewest of 1, 2, 4 or 8 bytes that hold a file's largest. The contexts of a bucket are those whose id hashes to it; a context with many rows is spread by the next word too.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import mapped, opened, put, squeeze, summed
-from ._bytes import U64, chunks, mix, word_hashes
+from ._blocks import mapped, narrow, numbers, opened, put, squeeze, summed
+from ._bytes import U64, chunks, mix, tidy, word_ids
 from ._work import Workspace, as_bytes, per_gb_partitions
 
-END = U64(0x3C6EF372FE94F82B)
 START = 0xFFFFFFFF
 #: Tokens that a task counts at once.
 FLUSH = 1 << 20
@@ -37,12 +36,37 @@ def remainders(ids: list, folds: int) -> np.ndarray:
     return np.array([zlib.crc32(str("null" if i is None else i).encode()) % folds for i in ids], dtype=np.int64)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each token: a row's words, then its end."""
-    h, row = word_hashes(data, offsets)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 128 bits and the row of each token: a row's words, then its end, which is zeros as no word is."""
+    hi, lo, row = word_ids(data, offsets)
     rows = len(offsets) - 1
     upto = np.searchsorted(row, np.arange(rows), "right")
-    return np.insert(h, upto, END), np.insert(row, upto, np.arange(rows))
+    return np.insert(hi, upto, U64(0)), np.insert(lo, upto, U64(0)), np.insert(row, upto, np.arange(rows))
+
+
+def codes(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix(hi ^ mix(lo ^ U64(0x3C6EF372FE94F82B)))
+
+
+def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order of their code: code, hi, lo; which one each word is; an order of all, and where each starts in it."""
+    code = codes(hi, lo)
+    order = np.argsort(code, kind="stable")
+
+    def heads(*columns: np.ndarray) -> np.ndarray:
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+        return new
+
+    new = heads(code, hi, lo)
+    if new.sum() != heads(code).sum():
+        order = np.lexsort((lo, hi, code))
+        new = heads(code, hi, lo)
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(code), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    lead = order[first]
+    return code[lead], hi[lead], lo[lead], inverse, order, first
 
 
 @dataclass(frozen=True)
@@ -86,19 +110,32 @@ class Files:
             Files._open[uri] = mapped(uri, dtype)
         return Files._open[uri]
 
-    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id (-1: never seen in training) and training count of sorted distinct hashes."""
-        ids, counts = np.full(len(h), -1, dtype=np.int64), np.zeros(len(h), dtype=np.int64)
-        ends = np.searchsorted(h >> U64(64 - self.layout.bits), np.arange(1 << self.layout.bits), "right")
+    def sized(self, kind: str, b: int, n: int) -> np.ndarray:
+        """n numbers, of as many bytes as the file has for each."""
+        uri = self.layout.file(kind, b)
+        if uri not in Files._open:
+            Files._open[uri] = numbers(uri, n)
+        return Files._open[uri]
+
+    def ids(self, code: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id (-1: never seen in training) and training count of distinct words in order of their codes."""
+        ids, counts = np.full(len(code), -1, dtype=np.int64), np.zeros(len(code), dtype=np.int64)
+        ends = np.searchsorted(code >> U64(64 - self.layout.bits), np.arange(1 << self.layout.bits), "right")
         start = 0
         for b, end in enumerate(ends.tolist()):
-            if end > start:
-                table = self.get("words", b, "<u8")
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, h[start:end]), len(table) - 1)
-                    hit = table[at] == h[start:end]
-                    ids[start:end] = np.where(hit, at + self.layout.bases[b], -1)
-                    counts[start:end] = np.where(hit, self.get("counts", b, "<u8")[at], 0)
+            table = self.get("words", b, "<u8") if end > start else code[:0]
+            if len(table):
+                names, seen = self.get("names", b, "<u8").reshape(2, -1), self.sized("counts", b, len(table))
+                open_, at = np.arange(start, end), np.searchsorted(table, code[start:end])
+                # words of one code stand together: go on until the word itself or another code is met
+                while len(open_):
+                    inside = at < len(table)
+                    open_, at = open_[inside], at[inside]
+                    same = table[at] == code[open_]
+                    open_, at = open_[same], at[same]
+                    hit = (names[0][at] == hi[open_]) & (names[1][at] == lo[open_])
+                    ids[open_[hit]], counts[open_[hit]] = at[hit] + self.layout.bases[b], seen[at[hit]]
+                    open_, at = open_[~hit], at[~hit] + 1
             start = end
         return ids, counts
 
@@ -109,7 +146,8 @@ class Files:
         bucket = self.layout.id_bucket(ids[known])
         for b in np.unique(bucket).tolist():
             own = known[bucket == b]
-            out[:, own] = self.get("stats", b, "<u4").reshape(5, -1)[:, ids[own] - self.layout.bases[b]]
+            words = len(self.get("words", b, "<u8"))
+            out[:, own] = self.sized("stats", b, 5 * words).reshape(5, -1)[:, ids[own] - self.layout.bases[b]]
         return out
 
     def times(self, keys: np.ndarray) -> np.ndarray:
@@ -123,38 +161,44 @@ class Files:
             table = self.get("pairs", b, "<u8") if len(own) else own
             if len(table):
                 at = np.minimum(np.searchsorted(table, keys[own]), len(table) - 1)
-                out[own] = np.where(table[at] == keys[own], self.get("times", b, "<u4")[at], 0)
+                out[own] = np.where(table[at] == keys[own], self.sized("times", b, len(table))[at], 0)
         return out
 
 
-def _training(batches: Iterator[pa.RecordBatch], folds: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens (hash, row) of training texts in pieces."""
+def _training(batches: Iterator[pa.RecordBatch], folds: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens (128 bits, row) of training texts in pieces."""
     for batch in batches:
         mine = batch.filter(pa.array(remainders(batch.column("id").to_pylist(), folds) != held))
         for _, data, offsets in chunks(mine.column("text")):
             yield tokens(data, offsets)
 
 
-def _blocks(buckets: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _blocks(buckets: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(buckets, kind="stable")
     ids, first = np.unique(buckets[order], return_index=True)
-    blobs = [squeeze(k, c) for k, c in zip(np.split(keys[order], first[1:]), np.split(counts[order], first[1:]))] if len(ids) else []
+    blobs = [squeeze(*parts) for parts in zip(*[np.split(c[order], first[1:]) for c in columns])] if len(ids) else []
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+def summed_words(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words (code, hi, lo) and the sums of their counts."""
+    code, hi, lo, _, order, first = distinct(hi, lo)
+    return code, hi, lo, np.add.reduceat(n[order], first) if len(first) else n
+
+
 def _count_words(layout: Layout, folds: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait: list[tuple[np.ndarray, np.ndarray]] = []
+        wait: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = summed(np.concatenate([k for k, _ in wait]), np.concatenate([c for _, c in wait]))
-            return _blocks(layout.word_bucket(keys), keys, n.astype(np.uint32))
+            code, hi, lo, n = summed_words(*(np.concatenate(x) for x in zip(*wait)))
+            return _blocks(layout.word_bucket(code), code, hi, lo, n)
 
-        for h, _ in _training(batches, folds, held):
-            keys, n = np.unique(h, return_counts=True)
-            wait.append((keys, n))
-            size += len(keys)
+        for hi, lo, _ in _training(batches, folds, held):
+            _, hi, lo, n = summed_words(hi, lo, np.ones(len(hi), dtype=np.uint64))
+            wait.append((hi, lo, n))
+            size += len(hi)
             if size >= FLUSH:
                 yield flush()
                 wait.clear()
@@ -167,19 +211,20 @@ def _count_words(layout: Layout, folds: int, held: int):
 
 def _merge_words(layout: Layout):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [opened(x, np.uint64, np.uint32) for x in rows["blob"]]
-        keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint64))
-        put(layout.file("words", key[0]), keys.astype("<u8"))
-        put(layout.file("counts", key[0]), n.astype("<u8"))
-        return pd.DataFrame({"bucket": [key[0]], "words": [len(keys)], "tokens": [int(n.sum())]})
+        parts = [opened(x, *[np.uint64] * 4)[1:] for x in rows["blob"]]
+        code, hi, lo, n = summed_words(*(np.concatenate(x) for x in zip(*parts)))
+        put(layout.file("words", key[0]), code.astype("<u8"))
+        put(layout.file("names", key[0]), np.stack([hi, lo]).astype("<u8"))
+        put(layout.file("counts", key[0]), narrow(n))
+        return pd.DataFrame({"bucket": [key[0]], "words": [len(code)], "tokens": [int(n.sum())]})
 
     return run
 
 
-def _hot_words(layout: Layout, least: float):
+def _hot_words(layout: Layout, least: float, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.flatnonzero(mapped(layout.file("counts", b), "<u8") > least) + int(layout.bases[b]) for b in batch.column("bucket").to_pylist()]
+            ids = [np.flatnonzero(numbers(layout.file("counts", b), sizes[b]) > least) + int(layout.bases[b]) for b in batch.column("bucket").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())], ["id"])
 
     return run
@@ -200,11 +245,11 @@ def _count_pairs(layout: Layout, folds: int, held: int):
 
         def flush() -> pa.RecordBatch:
             keys, n = summed(np.concatenate([k for k, _ in wait]), np.concatenate([c for _, c in wait]))
-            return _blocks(layout.pair_bucket(keys), keys, n.astype(np.uint32))
+            return _blocks(layout.pair_bucket(keys), keys, n)
 
-        for h, row in _training(batches, folds, held):
-            words, inverse = np.unique(h, return_inverse=True)
-            keys, n = np.unique(pair_keys(files.ids(words)[0][inverse], row), return_counts=True)
+        for hi, lo, row in _training(batches, folds, held):
+            *words, inverse, _, _ = distinct(hi, lo)
+            keys, n = np.unique(pair_keys(files.ids(*words)[0][inverse], row), return_counts=True)
             wait.append((keys, n))
             size += len(keys)
             if size >= FLUSH:
@@ -219,10 +264,10 @@ def _count_pairs(layout: Layout, folds: int, held: int):
 
 def _merge_pairs(layout: Layout):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [opened(x, np.uint64, np.uint32) for x in rows["blob"]]
-        keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+        parts = [opened(x, np.uint64, np.int64) for x in rows["blob"]]
+        keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         put(layout.file("pairs", key[0]), keys.astype("<u8"))
-        put(layout.file("times", key[0]), n.astype("<u4"))
+        put(layout.file("times", key[0]), narrow(n))
         first, second = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
         ids, values = summed(first, np.stack([n, n == 1, n == 2, n >= 3], axis=1).astype(np.int64))
         inner = ids != START
@@ -235,7 +280,7 @@ def _merge_pairs(layout: Layout):
         all_ids, table = summed(all_ids, table)
         bucket = layout.id_bucket(all_ids)
         places, at = np.unique(bucket, return_index=True)
-        blobs = [squeeze(i.astype(np.uint32), *np.ascontiguousarray(t.T).astype(np.uint32)) for i, t in zip(np.split(all_ids, at[1:]), np.split(table, at[1:]))]
+        blobs = [squeeze(i.astype(np.uint32), *np.ascontiguousarray(t.T)) for i, t in zip(np.split(all_ids, at[1:]), np.split(table, at[1:]))]
         out = pd.DataFrame({"bucket": places.astype(np.int64), "blob": blobs})
         head = [*start.tolist(), *[int((n == k).sum()) for k in (1, 2, 3, 4)]]
         return pd.concat([out, pd.DataFrame({"bucket": [-1], "blob": [np.array(head, dtype=np.int64).tobytes()]})], ignore_index=True)
@@ -250,9 +295,9 @@ def _merge_stats(layout: Layout, sizes: dict[int, int]):
             return pd.DataFrame({"bucket": [-1], "sums": [head.tolist()]})
         table = np.zeros((5, sizes[key[0]]), dtype=np.int64)
         for blob in rows["blob"]:
-            ids, *values = opened(blob, *[np.uint32] * 6)
-            table[:, ids.astype(np.int64) - int(layout.bases[key[0]])] += np.stack(values).astype(np.int64)
-        put(layout.file("stats", key[0]), table.astype("<u4"))
+            ids, *values = opened(blob, np.uint32, *[np.int64] * 5)
+            table[:, ids.astype(np.int64) - int(layout.bases[key[0]])] += np.stack(values)
+        put(layout.file("stats", key[0]), narrow(table))
         after = table[0]
         return pd.DataFrame({"bucket": [key[0]], "sums": [[int(after.sum()), *[int((after == k).sum()) for k in (1, 2, 3, 4)], int((after >= 3).sum())]]})
 
@@ -283,13 +328,13 @@ class LanguageModel:
     def score(self, files: Files, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per row: tokens, known tokens, base score, score."""
         rows = len(offsets) - 1
-        h, row = tokens(data, offsets)
-        words, inverse = np.unique(h, return_inverse=True)
-        ids, counts = files.ids(words)
+        hi, lo, row = tokens(data, offsets)
+        *words, inverse, _, _ = distinct(hi, lo)
+        ids, counts = files.ids(*words)
         base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
         stats = files.stats(ids)
         # by word: its lower-order probability, and as a context its count and the share left to the lower order
-        low = np.maximum(stats[0] - self.low[np.minimum(stats[0], 3)], 0.0) / self.pairs if self.pairs else np.zeros(len(words))
+        low = np.maximum(stats[0] - self.low[np.minimum(stats[0], 3)], 0.0) / self.pairs if self.pairs else np.zeros(len(ids))
         low = low + self.spare / (self.words + 1)
         total, left = self._context(stats[1:])
         keys = pair_keys(ids[inverse], row)
@@ -310,18 +355,22 @@ class LanguageModel:
 
 
 def train(df: DataFrame, work: Workspace, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
-    """Count all texts outside the held-out fold and write the model's files."""
+    """Count all texts outside the held-out fold and write the model's files.
+
+    A null or empty text counts as its end alone, a null id falls into the fold of the text "null", and repeated rows
+    count each time. Other columns are not read. From an empty table comes a model without words.
+    """
     parts = max(16, 2 * per_gb_partitions(work.spark))
     bits = parts.bit_length()
     layout = Layout(work.path("model"), bits, parts)
     rows = df.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    counted = rows.mapInArrow(_count_words(layout, folds, held), "bucket long, blob binary")
+    counted = rows.mapInArrow(tidy(_count_words(layout, folds, held)), "bucket long, blob binary")
     sizes = work.save(counted.groupBy("bucket").applyInPandas(_merge_words(layout), "bucket long, words long, tokens long"), "word-sizes")
     listed = {r["bucket"]: r for r in sizes.collect()}
     lengths = [listed[b]["words"] if b in listed else 0 for b in range(1 << bits)]
     for b in range(1 << bits):
         if b not in listed:
-            for kind in ("words", "counts"):
+            for kind in ("words", "names", "counts"):
                 put(layout.file(kind, b), np.zeros(0))
     bases = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     words, total = sum(lengths), sum(r["tokens"] for r in listed.values())
@@ -329,9 +378,9 @@ def train(df: DataFrame, work: Workspace, folds: int = 5, held: int = 1, id_col:
         raise ValueError("more words than 32-bit ids")
     layout = Layout(layout.root, bits, parts, bases)
     # no more than 4 contexts a bucket can be above this
-    hot = sizes.select("bucket").mapInArrow(_hot_words(layout, total / (4 * parts)), "id long").collect()
+    hot = sizes.select("bucket").mapInArrow(_hot_words(layout, total / (4 * parts), lengths), "id long").collect()
     layout = Layout(layout.root, bits, parts, bases, np.array(sorted(r["id"] for r in hot), dtype=np.uint64))
-    counted = rows.mapInArrow(_count_pairs(layout, folds, held), "bucket long, blob binary")
+    counted = rows.mapInArrow(tidy(_count_pairs(layout, folds, held)), "bucket long, blob binary")
     merged = work.save(counted.groupBy("bucket").applyInPandas(_merge_pairs(layout), "bucket long, blob binary"), "pair-stats")
     sums = merged.groupBy("bucket").applyInPandas(_merge_stats(layout, {b: n for b, n in enumerate(lengths)}), "bucket long, sums array<long>").collect()
     for b in range(parts):
@@ -369,4 +418,4 @@ def score(df: DataFrame, work: Workspace, model: LanguageModel, folds: int = 5,
     Without training rows every probability is 1. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
-    return rows.mapInArrow(_scored(model, folds, held), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.mapInArrow(tidy(_scored(model, folds, held)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, claim, fresh, mix
+from ._bytes import U64, claim, fresh, mix, tidy
 from ._work import Workspace
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -238,7 +238,7 @@ def learn(df: DataFrame, work: Workspace, model_path: str, folds: int = 5, id_co
     sample = work.save(rows.filter(F.col("crc") <= bound).select("text", "lang"), "sample")
     p = None
     for _ in range(ROUNDS):
-        got = sample.mapInArrow(_learned(model_path, langs, p), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = sample.mapInArrow(tidy(_learned(model_path, langs, p)), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros((size, len(langs)))
         n[got["piece"], got["lang"]] = got["n"]
         pooled = n.sum(axis=1, keepdims=True) + 0.01
@@ -299,6 +299,6 @@ def identify(df: DataFrame, work: Workspace, model_path: str, folds: int = 5, id
     if keep:
         out = [fresh(c, df.columns) for c in ("lang_pred", "score")]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out[0]} string", f"{out[1]} double"])
-        return df.mapInArrow(_predicted(model_path, langs, p, folds, df.columns, None, df.columns.index(text_col), out, True), schema)
+        return df.mapInArrow(tidy(_predicted(model_path, langs, p, folds, df.columns, None, df.columns.index(text_col), out, True)), schema)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predicted(model_path, langs, p, folds, [], 0, 1, ["lang_pred", "score"], False), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predicted(model_path, langs, p, folds, [], 0, 1, ["lang_pred", "score"], False)), "doc_id long, held_out boolean, lang_pred string, score double")

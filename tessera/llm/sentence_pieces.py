@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import claim
+from ._bytes import claim, tidy
 from ._work import Workspace, as_bytes
 
 MARK = "▁"
@@ -156,7 +156,7 @@ def encode(df: DataFrame, work: Workspace, model_path: str, id_col: str = "doc_i
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     more = ", ids array<int>" if with_ids else ""
-    return rows.mapInArrow(_coded(model_path, with_ids), f"doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same_text boolean{more}")
+    return rows.mapInArrow(tidy(_coded(model_path, with_ids)), f"doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same_text boolean{more}")
 
 
 def decode(df: DataFrame, work: Workspace, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -168,4 +168,4 @@ def decode(df: DataFrame, work: Workspace, model_path: str, id_col: str = "doc_i
             texts = [None if x is None else model.decode(np.array(x, dtype=np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(run), "doc_id long, text string")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import opened, squeeze
-from ._bytes import BYTE_HASH, U64, chunks, column_bytes, member, powers, span_hashes
+from ._bytes import BYTE_HASH, U64, chunks, column_bytes, member, powers, rolling_hashes, tidy
 from ._work import Workspace, as_bytes, per_gb_partitions
 
 LENGTH, GRAM = 50, 20
@@ -149,6 +149,15 @@ def by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return own, pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(first * 8, len(data)).astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of these sizes (above 0) that start at a and at b have the same bytes."""
+    if not len(a):
+        return np.zeros(0, dtype=bool)
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    return np.logical_and.reduceat(data[inside + np.repeat(a, size)] == data[inside + np.repeat(b, size)], ends - size)
+
+
 def _segments(shared):
     """Of each flush, the segments that may hold repeats (key, id, row, starts, bytes), and spans already known to be
     copies of a smaller document's in the same flush (key: the row, bytes null, spans)."""
@@ -162,20 +171,28 @@ def _segments(shared):
             data = np.concatenate([h[0] for h in held])
             base = np.cumsum([0] + [len(h[0]) for h in held])
             first, size, key, id_, row, place = (np.concatenate(x) for x in zip(*[(h[1] + b, h[2], *h[3:]) for h, b in zip(held, base)]))
-            same = span_hashes(data, first, first + size) ^ key
+            same = rolling_hashes(data, first, first + size) ^ key
             # occurrences of one segment stand together, the smallest document's first
             order = np.lexsort((place, row, id_, same))
             same, id_, row, place = same[order], id_[order], row[order], place[order]
             first, size, key = first[order], size[order], key[order]
             group = np.cumsum(np.concatenate([[True], same[1:] != same[:-1]])) - 1
             head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            copy = id_ > id_[head][group]
+            # equal hashes only bring segments together: a copy has the bytes of its group's head
+            lead = head[group]
+            copy = (id_ > id_[lead]) & (size == size[lead])
+            at = np.flatnonzero(copy)
+            copy[at] = equal_spans(data, first[at], first[lead[at]], size[at])
             rows, blobs = by_row(row[copy], place[copy], (place + size)[copy])
             n = len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(n, pa.int64()), pa.array(rows), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), blobs], names)
             # the rest, one row for each segment and document row
             keep = np.flatnonzero(~copy)
-            new = np.concatenate([[True], (group[keep][1:] != group[keep][:-1]) | (row[keep][1:] != row[keep][:-1])])
+            own = np.zeros(len(keep), dtype=bool)
+            own[1:] = (group[keep][1:] == group[keep][:-1]) & (row[keep][1:] == row[keep][:-1]) & (size[keep][1:] == size[keep][:-1])
+            at = np.flatnonzero(own)
+            own[at] = equal_spans(data, first[keep][at], first[keep][at - 1], size[keep][at])
+            new = ~own
             lead = keep[new]
             at = np.flatnonzero(new)
             starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(keep)).astype(np.int32)), pa.array(place[keep].astype(np.int32)))
@@ -223,7 +240,7 @@ def repeats(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, groups: bool
     owner = ids[seg]
     # windows are grouped by a hash first: only those that several ids have, and that can't be extended to the left
     # in all their places, are sorted as suffixes
-    h = span_hashes(data, at, at + LENGTH)
+    h = rolling_hashes(data, at, at + LENGTH)
     order = np.argsort(h, kind="stable")
     at, h = at[order], h[order]
     head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -373,31 +390,30 @@ def remove_repeats(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_
 
     Texts are UTF-8 bytes, null counts as empty. A byte is removed if a string of LENGTH bytes that covers it in its
     document also starts in a document with a smaller id; overlaps count, and strings are judged on the input. Rows of
-    equal ids don't remove each other's bytes; a null id counts as larger than any other. Other columns are not read.
+    equal ids don't remove each other's bytes; a null id counts as the largest long. Other columns are not read.
     An empty table gives an empty result.
     """
     spark, parts = work.spark, per_gb_partitions(work.spark)
-    # a number that follows from the row alone, so that it's the same whenever the table is read
-    row = F.xxhash64(F.col(id_col).cast("long"), as_bytes(text_col))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), row.alias("row"), as_bytes(text_col).alias("text"))
+    # numbers are written, so that a row's is the same whenever the table is read; a null id stands behind all others
+    given = work.numbered(df.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")), "row")
+    rows = given.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "row", "text")
     bits = max(5, (2 * parts).bit_length())
-    blocks = rows.select("id", "text").mapInArrow(_gathered(bits), "block long, blob binary")
+    blocks = rows.select("id", "text").mapInArrow(tidy(_gathered(bits)), "block long, blob binary")
     shared = work.save(blocks.groupBy("block").applyInPandas(_shared, "block long, n long, blob binary"), "shared")
     total = shared.agg(F.sum("n")).first()[0] or 0
     if total <= SHARED:
         keys = [opened(r["blob"], np.uint64)[0] for r in shared.orderBy("block").toLocalIterator()]
         table = spark.sparkContext.broadcast(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-        segments = rows.mapInArrow(_segments(table), SEGMENT_SCHEMA)
+        segments = rows.mapInArrow(tidy(_segments(table)), SEGMENT_SCHEMA)
     else:
-        keys = shared.mapInArrow(_listed, "key long")
-        segments = rows.mapInArrow(_segments(None), SEGMENT_SCHEMA)
+        keys = shared.mapInArrow(tidy(_listed), "key long")
+        segments = rows.mapInArrow(tidy(_segments(None)), SEGMENT_SCHEMA)
         segments = segments.filter("spans is not null").unionByName(segments.filter("spans is null").join(keys, "key", "left_semi"))
     met = segments.repartition(2 * parts, "key").sortWithinPartitions("key")
-    spans = work.save(met.mapInArrow(_found, "row long, spans binary"), "spans")
+    spans = work.save(met.mapInArrow(tidy(_found), "row long, spans binary"), "spans")
     by_row = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    told = rows.select(F.col("id"), "row", "text").join(by_row, "row", "left").select("id", "text", "spans")
-    out = told.mapInArrow(_removed(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    told = given.join(by_row, "row", "left").select(F.col("doc_id").alias("id"), "text", "spans")
+    return told.mapInArrow(tidy(_removed(keep_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 SEGMENT_SCHEMA = "key long, id long, row long, starts array<int>, segment binary, spans binary"

@@ -7,7 +7,7 @@ lists a document's chunks in order and carries their Merkle root; a manifest car
 Files, all below one folder and in Spark's own formats, so any store that Spark writes will do:
     staged/    kind=0, the chunks: key: 16-byte BLAKE2b of the ids, data: Zstandard of the ids as little-endian unsigned integers
     recipes/   from staged kind=1, in ascending doc_id order: part, doc_id, row, n_tokens, start, keys (joined), root
-    manifest/  part, docs, tokens, root (over the part's recipes, in order)
+    manifest/  part, docs, tokens, root (over the part's recipes, in order), itemsize (bytes of an id)
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ._bytes import U64, claim, span_hashes
+from ._bytes import U64, claim, ends_of, mix, tidy
 from ._bytes import chunks as blocks_of
 from ._work import Workspace, as_bytes, per_gb_partitions
 
@@ -80,52 +80,61 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class Words:
-    """Words that were encoded before: an open-addressing table from hash to place, and the ids of all in one pool."""
+    """Words that were encoded before, and the ids of all in one pool. Words of up to 16 bytes are told apart by their
+    length and bytes, in an open-addressing table; longer ones by their bytes, in a dictionary."""
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, dtype: np.dtype) -> None:
-        self.keys, self.places = np.zeros(self.SLOTS, dtype=np.uint64), np.zeros(self.SLOTS, dtype=np.int32)
+        self.slots = np.full(self.SLOTS, -1, dtype=np.int32)
         self.size, self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        self.long: dict[bytes, int] = {}
 
     def __len__(self) -> int:
         return len(self.size)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash, -1 for a new one. No hash is 0, which marks a free slot."""
-        out, slot = np.full(len(h), -1, dtype=np.int64), (h & U64(self.SLOTS - 1)).astype(np.int64)
-        open_ = np.arange(len(h))
+    def _slot(self, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (mix(first ^ mix(last + size.astype(np.uint64))) & U64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Place of each word of up to 16 bytes, -1 for a new one."""
+        out, slot, open_ = np.full(len(size), -1, dtype=np.int64), self._slot(size, first, last), np.arange(len(size))
         while len(open_):
-            at = slot[open_]
-            key = self.keys[at]
-            hit = key == h[open_]
-            out[open_[hit]] = self.places[at[hit]]
-            open_ = open_[~hit & (key != 0)]
-            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
+            place = self.slots[slot[open_]].astype(np.int64)
+            open_, place = open_[place >= 0], place[place >= 0]
+            hit = (self.size[place] == size[open_]) & (self.first[place] == first[open_]) & (self.last[place] == last[open_])
+            out[open_[hit]] = place[hit]
+            open_ = open_[~hit]
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
         return out
 
-    def add(self, h: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, ids: list[bytes]) -> np.ndarray:
-        """Put new distinct hashes in; their places."""
-        place = np.arange(len(self), len(self) + len(h))
-        slot, open_ = (h & U64(self.SLOTS - 1)).astype(np.int64), np.arange(len(h))
+    def _enter(self, places: np.ndarray) -> None:
+        slot, open_ = self._slot(self.size[places], self.first[places], self.last[places]), np.arange(len(places))
         while len(open_):
-            free = open_[self.keys[slot[open_]] == 0]
-            self.keys[slot[free]] = h[free]
-            won = free[self.keys[slot[free]] == h[free]]
-            self.places[slot[won]] = place[won]
+            free = open_[self.slots[slot[open_]] < 0]
+            self.slots[slot[free]] = places[free]
+            won = free[self.slots[slot[free]] == places[free]]
             open_ = np.setdiff1d(open_, won, assume_unique=True)
-            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+
+    def add(self, size: np.ndarray, first: np.ndarray, last: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Put new distinct words in; their places. The table grows, so that half of it at least stays free."""
+        place = np.arange(len(self), len(self) + len(size))
         count = np.array(list(map(len, ids)), dtype=np.int64) // self.pool.itemsize
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.pool.dtype)])
         self.size, self.first, self.last = (np.concatenate(x) for x in ((self.size, size), (self.first, first), (self.last, last)))
+        short = place[size <= 16]
+        if 2 * len(self) > len(self.slots):
+            while 2 * len(self) > len(self.slots):
+                self.slots = np.zeros(2 * len(self.slots), dtype=np.int32)
+            self.slots[:] = -1
+            short = np.flatnonzero(self.size <= 16)
+        self._enter(short)
         return place
 
-    def same(self, place: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return (self.size[place] == size) & (self.first[place] == first) & (self.last[place] == last)
-
     def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and how many each has."""
         many = self.count[place]
@@ -193,8 +202,7 @@ class Encoder:
         """Ids of a block of whole texts, as the library gives them for each, and how many each has.
 
         The byte-level pattern never takes a space with what comes before it when a visible character follows, so
-        such spaces are safe places to split, and no merge reaches over them. Words are told apart by a 64-bit hash
-        and, in full up to 16 bytes, by their length and their first and last 8 bytes.
+        such spaces are safe places to split, and no merge reaches over them.
         """
         raw, rows = data.tobytes(), len(offsets) - 1
         whole = [not self.by_word] * rows
@@ -215,24 +223,28 @@ class Encoder:
             ends = np.append(starts[1:], len(data))
         else:
             starts = ends = np.zeros(0, np.int64)
-        h = np.maximum(span_hashes(data, starts, ends), U64(1))
-        size, eight = ends - starts, np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-        near = np.lib.stride_tricks.sliding_window_view(eight, 8) if len(eight) >= 8 else np.zeros((0, 8), np.uint8)
-        first, last = near[starts].copy().view("<u8").ravel(), near[np.maximum(ends - 8, starts)].copy().view("<u8").ravel()
-        cut = (U64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - U64(1)
-        first, last = np.where(size >= 8, first, first & cut), np.where(size >= 8, last, last & cut)
+        size = ends - starts
+        first, last = ends_of(data, starts, ends)
         if len(self.words) > REMEMBERED:
             self.words = Words(self.dtype)
-        which = self.words.find(h)
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            new, lead, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
-            lead = missing[lead]
+        which, short = np.full(len(starts), -1, dtype=np.int64), size <= 16
+        which[short] = self.words.find(size[short], first[short], last[short])
+        long = {k: raw[starts[k] : ends[k]] for k in np.flatnonzero(~short).tolist()}
+        for k, w in long.items():
+            which[k] = self.words.long.get(w, -1)
+        missing = np.flatnonzero((which < 0) & short)
+        order = missing[np.lexsort((last[missing], first[missing], size[missing]))]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (size[order][1:] != size[order][:-1]) | (first[order][1:] != first[order][:-1]) | (last[order][1:] != last[order][:-1])
+        more = {w: k for k, w in long.items() if which[k] < 0}
+        lead = np.concatenate([order[new], np.array(list(more.values()), dtype=np.int64)])
+        if len(lead):
             words = [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())]
-            which[missing] = self.words.add(new, size[lead], first[lead], last[lead], self.fresh_ids(words))[inverse]
-        same = self.words.same(which, size, first, last)
-        if not same.all():
-            whole = np.isin(np.arange(rows), np.searchsorted(offsets, starts[~same], "right") - 1) | np.array(whole, dtype=bool)
+            places = self.words.add(size[lead], first[lead], last[lead], self.fresh_ids(words))
+            which[order] = places[np.cumsum(new) - 1]
+            self.words.long.update(zip(more, places[int(new.sum()) :].tolist()))
+            for k, w in long.items():
+                which[k] = self.words.long[w]
         if len(whole) and all(whole):
             parts = [np.frombuffer(self._ids(raw[a:b]), self.dtype) for a, b in zip(offsets[:-1], offsets[1:])]
             return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
@@ -288,8 +300,33 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _manifest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("place")
-    return pd.DataFrame({"part": [key[0]], "docs": [len(rows)], "tokens": [int(rows["n_tokens"].sum())], "root": [merkle_root(list(rows["root"]))]})
+    rows = rows.sort_values("start")
+    if (rows["start"].diff().iloc[1:].to_numpy() != rows["n_tokens"].iloc[:-1].to_numpy()).any():
+        raise ValueError(f"documents of part {key[0]} don't follow each other")
+    return pd.DataFrame({"part": [key[0]], "docs": [len(rows)], "tokens": [int(rows["n_tokens"].sum())], "first": [int(rows["start"].iloc[0])], "root": [merkle_root(list(rows["root"]))]})
+
+
+MANIFEST = "part int, docs long, tokens long, first long, root binary"
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """What a manifest says of these recipes: of each part its documents, tokens, first token and Merkle root."""
+    return recipes.select("part", "start", "n_tokens", "root").groupBy("part").applyInPandas(_manifest, MANIFEST)
+
+
+def checked_itemsize(work: Workspace, root: str) -> int:
+    """Bytes of an id, from the store's manifest, which must say what its recipes say and leave no token out."""
+    manifest = work.spark.read.parquet(f"{root}/manifest")
+    recipes = manifest_of(work.spark.read.parquet(f"{root}/recipes"))
+    names = MANIFEST.replace(" int", "").replace(" long", "").replace(" binary", "").split(", ")
+    both = manifest.select(*names, F.lit(1).alias("side")).unionByName(recipes.withColumn("side", F.lit(0)))
+    if both.groupBy(*names).agg(F.sum("side").alias("listed"), F.count("*").alias("n")).filter("listed <> 1 or n <> 2").limit(1).count():
+        raise ValueError("the manifest doesn't match the recipes")
+    follows = F.coalesce(F.lag(F.col("first") + F.col("tokens")).over(Window.orderBy("first", "part")), F.lit(0))
+    if manifest.select((F.col("first") != follows).alias("off")).filter("off").limit(1).count():
+        raise ValueError("parts of the store don't follow each other")
+    found = [r[0] for r in manifest.select("itemsize").distinct().collect()]
+    return found[0] if found else 2
 
 
 def staged(work: Workspace, root: str, kind: int) -> DataFrame:
@@ -305,11 +342,11 @@ def write_store(df: DataFrame, work: Workspace, tokenizer_path: str, end_id: int
     """
     spark, root = work.spark, work.path("store")
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
-    encoded = rows.mapInArrow(_encoded(tokenizer_path, end_id), "kind int, key binary, id long, row long, n_tokens long, data binary")
+    encoded = rows.mapInArrow(tidy(_encoded(tokenizer_path, end_id)), "kind int, key binary, id long, row long, n_tokens long, data binary")
     once = encoded.repartition("key").dropDuplicates(["kind", "key"])
     once.write.mode("overwrite").partitionBy("kind").option("compression", "uncompressed").parquet(f"{root}/staged")
     recipes = staged(work, root, 1).select(F.col("id").alias("doc_id"), "row", "n_tokens", F.col("data").alias("keys"))
-    recipes = recipes.mapInArrow(_roots, "doc_id long, row long, n_tokens long, keys binary, root binary")
+    recipes = recipes.mapInArrow(tidy(_roots), "doc_id long, row long, n_tokens long, keys binary, root binary")
     recipes = recipes.repartitionByRange(per_gb_partitions(spark), "doc_id", "row").withColumn("part", F.spark_partition_id())
     recipes = work.save(recipes, "ranged")
     order = Window.partitionBy("part").orderBy("doc_id", "row")
@@ -317,7 +354,7 @@ def write_store(df: DataFrame, work: Workspace, tokenizer_path: str, end_id: int
     placed = recipes.join(F.broadcast(sums.select("part", "base")), "part").withColumn("place", F.row_number().over(order)).withColumn("start", F.col("base") + F.sum("n_tokens").over(order) - F.col("n_tokens")).drop("base")
     placed.write.mode("overwrite").parquet(f"{root}/recipes")
     back = spark.read.parquet(f"{root}/recipes")
-    back.select("part", "place", "n_tokens", "root").groupBy("part").applyInPandas(_manifest, "part int, docs long, tokens long, root binary").write.mode("overwrite").parquet(f"{root}/manifest")
+    manifest_of(back).withColumn("itemsize", F.lit(Encoder.of(tokenizer_path).dtype.itemsize)).write.mode("overwrite").parquet(f"{root}/manifest")
     return root
 
 
@@ -400,21 +437,22 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows, pa.array(n), pa.array(crc.astype(np.int64))], ["row", "n", "crc"])
 
 
-def read_store(work: Workspace, root: str, itemsize: int = 2) -> DataFrame:
+def read_store(work: Workspace, root: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files: every chunk is opened and checked
-    against its key, every recipe against its root, and the ids of a document are those of its chunks in order."""
-    spark = work.spark
+    against its key, every recipe against its root, all roots against the manifest, and the ids of a document are
+    those of its chunks in order."""
+    spark, itemsize = work.spark, checked_itemsize(work, root)
     recipes = spark.read.parquet(f"{root}/recipes")
-    chunks = staged(work, root, 0).select("key", "data").mapInArrow(_read_chunks(itemsize), "key binary, n long, crc long")
-    listed = recipes.select("row", "keys", "root").mapInArrow(_exploded, "row long, seq long, key binary")
+    chunks = staged(work, root, 0).select("key", "data").mapInArrow(tidy(_read_chunks(itemsize)), "key binary, n long, crc long")
+    listed = recipes.select("row", "keys", "root").mapInArrow(tidy(_exploded), "row long, seq long, key binary")
     parts = listed.join(chunks, "key", "left").groupBy("row").agg(F.collect_list(F.struct("seq", F.coalesce("n", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("n"), "crc")).alias("parts"))
-    whole = parts.mapInArrow(_joined, "row long, n long, crc long")
+    whole = parts.mapInArrow(tidy(_joined), "row long, n long, crc long")
     return recipes.select("doc_id", "start", "row").join(whole, "row").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
-def read_ids(work: Workspace, root: str, itemsize: int = 2) -> DataFrame:
+def read_ids(work: Workspace, root: str) -> DataFrame:
     """(doc_id, ids) of each document, put together from its chunks."""
-    spark = work.spark
+    spark, itemsize = work.spark, checked_itemsize(work, root)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
@@ -423,7 +461,7 @@ def read_ids(work: Workspace, root: str, itemsize: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lists, pa.list_(pa.int64()))], ["row", "ids"])
 
     recipes = spark.read.parquet(f"{root}/recipes")
-    listed = recipes.select("row", "keys", "root").mapInArrow(_exploded, "row long, seq long, key binary")
+    listed = recipes.select("row", "keys", "root").mapInArrow(tidy(_exploded), "row long, seq long, key binary")
     chunks = staged(work, root, 0).select("key", "data")
     parts = listed.join(chunks, "key").groupBy("row").agg(F.collect_list(F.struct("seq", "data")).alias("parts"))
-    return recipes.select("doc_id", "row").join(parts.mapInArrow(joined, "row long, ids array<long>"), "row").select("doc_id", "ids")
+    return recipes.select("doc_id", "row").join(parts.mapInArrow(tidy(joined), "row long, ids array<long>"), "row").select("doc_id", "ids")

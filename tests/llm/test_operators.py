@@ -223,6 +223,54 @@ def test_encoder_splits_are_safe():
         assert e.encode(a + b).tolist() == e.tokenizer.encode(a + b, add_special_tokens=False).ids
 
 
+def test_store_of_words_alike(spark, work):
+    tokenizer = token_store.Encoder.of(Q.BYTE_BPE).tokenizer
+    x, y = ("xxxxxxxx" + t + "yyyyyyyy" for t in thue_morse())
+    texts = [f"a {x} b", f"a {y} b", f"{y} {x}", "sixteen_letters_ sixteen_letters_ sixteen_letters", "a\0 a a\0\0 a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = Counter((i, tuple(tokenizer.encode(t, add_special_tokens=False).ids + [0])) for i, t in enumerate(texts))
+    assert bag((r["doc_id"], tuple(r["ids"])) for r in token_store.read_ids(work, token_store.write_store(df, work, Q.BYTE_BPE)).collect()) == want
+
+
+def test_encoder_table_grows(monkeypatch):
+    monkeypatch.setattr(token_store.Words, "SLOTS", 1024)
+    e = token_store.Encoder(Q.BYTE_BPE)
+    for n in (2000, 5000):
+        text = " ".join(f"w{k * 7919 % 100003}" + "x" * (k % 30) for k in range(n))
+        assert e.encode(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(e.words.slots) >= 2 * len(e.words)
+
+
+def test_wide_ids(spark, work, tmp_path):
+    import json
+
+    spec = json.load(open(Q.BYTE_BPE, encoding="utf-8"))
+    vocab = spec["model"]["vocab"]
+    vocab |= {f"unused piece {k}": k for k in range(max(vocab.values()) + 1, 70_000)}
+    (tmp_path / "wide.json").write_text(json.dumps(spec))
+    path = str(tmp_path / "wide.json")
+    df = spark.createDataFrame([(0, "one two"), (1, None)], "doc_id long, text string")
+    root = token_store.write_store(df, work, path)
+    assert spark.read.parquet(f"{root}/manifest").first()["itemsize"] == 4
+    ids = token_store.Encoder(path).tokenizer.encode("one two").ids
+    assert bag((r["doc_id"], tuple(r["ids"])) for r in token_store.read_ids(work, root).collect()) == Counter([(0, (*ids, 0)), (1, (0,))])
+
+
+def test_manifest_is_checked(spark, work, small):
+    root = token_store.write_store(small, work, Q.BYTE_BPE)
+    manifest = spark.read.parquet(f"{root}/manifest")
+    rows = manifest.collect()
+    assert sum(r["docs"] for r in rows) == small.count() and token_store.read_store(work, root).count() == small.count()
+    for change in ("tokens + 1", "docs - 1"):
+        name = change.split()[0]
+        spark.createDataFrame(rows, manifest.schema).selectExpr(*[change + " AS " + name if c == name else c for c in manifest.columns]).write.mode("overwrite").parquet(f"{root}/manifest")
+        with pytest.raises(ValueError):
+            token_store.read_store(work, root)
+    spark.createDataFrame(rows[1:], manifest.schema).write.mode("overwrite").parquet(f"{root}/manifest")
+    with pytest.raises(ValueError):
+        token_store.read_store(work, root)
+
+
 def test_crc_of_parts():
     r = np.random.default_rng(0)
     for n, m in ((0, 0), (1, 0), (0, 5), (3, 4), (1000, 70001)):
@@ -271,6 +319,23 @@ def test_suffix_without_broadcast(docs, work, monkeypatch):
     assert bag(suffix_dedup.remove_repeats(docs, work).collect()) == brute_repeats(pairs(docs))
 
 
+def test_suffix_of_hashes_alike(spark, work, monkeypatch):
+    # every hash of equal length is the same: what is told by hashes alone would now be wrong
+    monkeypatch.setattr(suffix_dedup, "rolling_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) * 0 + np.uint64(7))
+    r = np.random.default_rng(8)
+    text = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = [text(80) for _ in range(4)]
+    rows = [(k, text(60) + shared[k % 4] + text(40)) for k in range(24)] + [(30, shared[0] * 2), (None, shared[1]), (2**63 - 1, shared[2])]
+    held = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    batches = [pa.RecordBatch.from_pydict({"id": [suffix_dedup.LAST if i is None else i for i, _ in rows], "row": list(range(len(rows))), "text": [t.encode() for _, t in rows]})]
+    known = [x for b in suffix_dedup._segments(None)(iter(batches)) for x in b.to_pylist() if x["spans"]]
+    where = {k: t.encode() for k, (_, t) in enumerate(rows)}
+    for x in known:
+        for a, b in zip(*suffix_dedup.unpack([x["spans"]])):
+            assert any(where[x["row"]][a:b] in t for k, t in where.items() if k != x["row"])
+    assert bag(suffix_dedup.remove_repeats(held, work).collect()) == brute_repeats(rows)
+
+
 def test_maximal_repeats():
     r = np.random.default_rng(2)
     a, b = (bytes(r.integers(97, 123, 70, dtype=np.uint8)) for _ in range(2))
@@ -462,7 +527,48 @@ def test_jaccard_small_and_shared(spark, work):
     assert bag(out.collect()) == brute_jaccard(rows, 2, 80)
 
 
+def thue_morse():
+    """Two different words of 2048 letters with one polynomial hash modulo 2**64, whatever its odd base."""
+    bits = [bin(k).count("1") & 1 for k in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ab"[1 - b] for b in bits)
+
+
+def test_jaccard_of_words_alike(spark, work):
+    x, y = ("xxxxxxxx" + t + "yyyyyyyy" for t in thue_morse())
+    rows = [(0, f"p q {x} r"), (1, f"p q {y} r"), (2, f"P Q {x} R"), (3, x), (4, y)]
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), work).select("doc_id", "n_shingles", "component_id")
+    assert bag(out.collect()) == brute_jaccard(rows, 4, 85) and bag(out.select("component_id").collect()) == Counter({(0,): 2, (1,): 1, (3,): 1, (4,): 1})
+
+
+def shared_rows(r, n=140):
+    """Chains of near copies around a few texts, beside others that share a passage with them."""
+    w, rows = [f"w{k}" for k in range(500)], []
+    bases = [[r.choice(w) for _ in range(60)] for _ in range(3)]
+    for k in range(n):
+        t = list(bases[k % 3])
+        for _ in range(k // 10):
+            t[r.randrange(60)] = r.choice(w)
+        rows.append((k, " ".join(t + bases[0][:20] * (k % 2))))
+    return rows
+
+
+@pytest.mark.parametrize("split, nearest, few", [(8, 1, 0), (4096, 1, 1 << 20), (16, 4, 0)])
+def test_jaccard_blocks_and_steps(spark, work, monkeypatch, split, nearest, few):
+    import random
+
+    from tessera.llm import _components
+
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    monkeypatch.setattr(jaccard_join, "NEAREST", nearest)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 10)
+    monkeypatch.setattr(_components, "FEW", few)
+    rows = shared_rows(random.Random(split))
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), work, 2, 80).select("doc_id", "n_shingles", "component_id")
+    assert bag(out.collect()) == brute_jaccard(rows, 2, 80)
+
+
 def test_boundary_follows_cost():
+    assert jaccard_join.boundary_by_cost({n: 10 for n in range(1, 25)}, 85, 1e9) == jaccard_join.MOST_SMALL
     assert jaccard_join.boundary_by_cost({8: 100, 9: 100}, 85) == 8
     assert 7 < jaccard_join.boundary_by_cost({n: 10 for n in range(1, 25)}, 85) < 20
 
@@ -557,6 +663,35 @@ def test_language_model(docs, work):
     assert len(got) == len(want)
 
 
+def test_language_model_of_words_alike(spark, work):
+    x, y = thue_morse()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = [i for i in range(50) if not fold(i)][:3] + [i for i in range(50) if fold(i)][:2]
+    rows = list(zip(ids, [f"a {x}", x, "a b", y, f"{x} {y}"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in kneser_ney.score(df, work, kneser_ney.train(df, work)).collect()}
+    for a in brute_kn(rows):
+        assert tuple(got[a[0]][:5]) == a[:5] and got[a[0]][5] == pytest.approx(a[5]) and got[a[0]][6] == pytest.approx(a[6])
+    assert [got[i]["n_known"] for i in ids[3:]] == [1, 2]
+
+
+def test_words_of_one_code(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "codes", lambda hi, lo: hi % np.uint64(3))
+    hi, lo = np.array([5, 2, 5, 8, 2, 3, 5], dtype=np.uint64), np.array([1, 1, 2, 1, 1, 9, 1], dtype=np.uint64)
+    code, h, low, inverse, order, first = kneser_ney.distinct(hi, lo)
+    assert (h[inverse] == hi).all() and (low[inverse] == lo).all() and (code == h % 3).all() and (np.diff(code.astype(int)) >= 0).all()
+    assert len(set(zip(h.tolist(), low.tolist()))) == len(h) == 5
+    assert dict(zip(zip(h.tolist(), low.tolist()), np.diff(np.append(first, len(order))).tolist())) == Counter(zip(hi.tolist(), lo.tolist()))
+
+
+def test_counts_as_wide_as_needed():
+    from tessera.llm._blocks import narrow, numbers, put
+
+    for most in (0, 255, 256, 1 << 16, 1 << 32, 1 << 40):
+        put("file:///tmp/tessera-narrow", narrow(np.array([0, most])))
+        assert numbers("file:///tmp/tessera-narrow", 2).tolist() == [0, most]
+
+
 # empty tables, and nothing that swallows rows
 
 
