@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 A source whose target is r times its size takes every document floor(r) times for certain. What is left is a sample
-without replacement in which a document is included with probability p: each document draws u in (0, 1) and is ranked
-by (u / (1 - u)) / (p / (1 - p)), the random odds over the odds of inclusion. The sample is the start of that order
-whose words fill what is left of the target. Ranks are found by buckets of the order, so no task sorts a source.
+without replacement, of a fixed size in words, in which a document's chance of inclusion p follows its own size: p =
+min(1, L * size), with the L of its source for which the expected words are those that are left. Each document draws u
+in (0, 1) and is ranked by (u / (1 - u)) / (p / (1 - p)), the random odds over the odds of inclusion. The sample is the
+start of that order that fits what is left; documents further on that still fit the gap follow, in the same order, and
+one document closes it. Ranks are found by steps of the order, so no task sorts a source.
 """
 
 from __future__ import annotations
@@ -55,49 +57,75 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_repeat: float
     return s.select("source", "source_size", F.col("target").cast("double").alias("target"))
 
 
+def same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def inclusion(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """(l_source, l) of each source of which words are left to sample: see the module.
+
+    Of sizes in falling order, as many are certain as it takes for the next one's L * size to be no more than 1. A
+    window holds a source's distinct sizes, which are as many as its longest text has words at most.
+    """
+    sizes = docs.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).alias("d")
+    sizes = sizes.join(plan.select("source", "rest").alias("p"), same("d.source", "p.source")).filter("rest > 0").select("d.source", "size", "n", "rest")
+    falling = Window.partitionBy("source").orderBy(F.col("size").desc())
+    certain = F.coalesce(F.sum(F.col("size") * F.col("n")).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    squares = F.sum(F.col("size") * F.col("size") * F.col("n")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    level = sizes.withColumn("l", (F.col("rest") - certain.cast("double")) / squares.cast("double"))
+    return level.filter(F.col("l") * F.col("size") <= 1).groupBy(F.col("source").alias("l_source")).agg(F.max_by("l", "size").alias("l"))
+
+
+def filled(docs: DataFrame, limit: str) -> DataFrame:
+    """docs (source, step, odds, size above 0, doc_id, row), with `fits`: whether the row is in the start of its source's
+    order whose sizes add up to `limit` at most. Only the step in which the limit falls is sorted."""
+    steps = docs.groupBy("source", "step").agg(F.sum("size").alias("n"), F.first(limit).alias("limit"))
+    steps = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("step")))
+    cut = steps.filter((F.col("upto") > F.col("limit")) & (F.col("upto") - F.col("n") <= F.col("limit")))
+    cut = cut.select(F.col("source").alias("cut_source"), F.col("step").alias("cut_step"), (F.col("upto") - F.col("n")).alias("before"))
+    placed = docs.join(cut, same("source", "cut_source"), "left").drop("cut_source")
+    order = Window.partitionBy("source").orderBy("odds", "size", F.col("doc_id").asc_nulls_last(), "row")
+    upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    inside = placed.filter("step = cut_step").withColumn("fits", upto <= F.col(limit))
+    outside = placed.filter("cut_step is null or step <> cut_step").withColumn("fits", F.col("cut_step").isNull() | (F.col("step") < F.col("cut_step")))
+    return inside.unionByName(outside).drop("cut_step", "before")
+
+
 def mix(df: DataFrame, work: Workspace, weights: Sequence[float] = (5, 2, 1), max_repeat: float = 3.0, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """One row for each row of df: (doc_id, size, source, source_size, target, copies, taken), and row_col where given.
+    """One row for each row of df: (doc_id, size, source, source_size, target, copies, taken), and row_col where given
+    (unique, not null).
 
     size: words in the text (null: 0). copies: how often the mix holds the document; taken = copies * size.
-    Rows are drawn by id, so reruns agree; of equal ids the larger text ranks later. Null ids share one draw.
-    The start of the order ends with the document that would pass what is left; the one rest document whose size comes
-    nearest to the gap closes it, if that brings the source nearer to its target.
-    No document is taken more than ceil(target / source_size) times. Empty tables and sources of no words take nothing.
+    Rows are drawn by id, so reruns agree; of equal ids the larger text ranks later. Null ids share one draw. Equal rows
+    are ranked one after another. The one rest document whose size comes nearest to the gap that is left closes it, if
+    that brings the source nearer to its target: a source misses it by half of its longest document at most.
+    No document is taken more than ceil(target / source_size) times; one without words is never sampled. Empty tables
+    and sources of no words take nothing.
     """
-    also = [row_col] if row_col else []
-    docs = work.save(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *also), "sizes")
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(sizes, weights, max_repeat)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = work.save(plan.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
-
-    same = F.col("d.source").eqNullSafe(F.col("p.source"))
-    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("p")))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    docs = work.save(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), number.alias("row")), "sizes")
+    plan = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
+    whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    plan = work.save(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
+    level = inclusion(docs, plan)
+
+    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("l") * F.col("size")))
     u = draw(F.col("doc_id"), seed)
-    ranked = docs.alias("d").join(plan.alias("p"), same).select("d.doc_id", "d.source", "d.size", "source_size", "target", "whole", "rest", *also, u.alias("u"), ((u / (1 - u)) / (p / (1 - p))).alias("odds"))
-    # u falls into even steps, and odds rises with u within a source
-    ranked = ranked.withColumn("step", F.floor(F.col("u") * STEPS))
-    steps = ranked.groupBy("source", "step").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    run = Window.partitionBy("source").orderBy("step")
-    steps = steps.withColumn("upto", F.sum("n").over(run))
-    cut = steps.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest"))).groupBy("source").agg(F.min(F.struct("step", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("cut.step").alias("cut_step"), F.col("cut.before").alias("before"))
-    placed = ranked.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    inside = placed.filter(F.col("step") == F.col("cut_step"))
-    order = Window.partitionBy("source").orderBy("odds", "size", F.col("doc_id").asc_nulls_last())
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("sampled", F.col("upto") <= F.col("rest"))
-    outside = placed.filter(F.col("cut_step").isNull() | (F.col("step") != F.col("cut_step"))).withColumn("upto", F.lit(None).cast("long")).withColumn("sampled", F.col("cut_step").isNull() | (F.col("step") < F.col("cut_step")))
-    # a step that ends before its documents are all taken has the same rest as the source
-    drawn = work.save(inside.unionByName(outside), "drawn")
-    filled = drawn.groupBy("source").agg(F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0)).alias("filled"), F.first("rest").alias("rest"))
-    gap = filled.select(F.col("source").alias("gap_source"), (F.col("rest") - F.col("filled")).alias("gap"))
-    spare = drawn.filter(~F.col("sampled") & (F.col("size") > 0)).join(gap, F.col("source").eqNullSafe(F.col("gap_source"))).filter(F.abs(F.col("gap") - F.col("size")) < F.abs(F.col("gap")))
-    last = spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "odds", "size", "doc_id")).alias("last"))
-    last = last.select(F.col("source").alias("last_source"), "last")
-    closed = drawn.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left")
-    closing = ~F.col("sampled") & F.coalesce((F.col("odds") == F.col("last.odds")) & (F.col("size") == F.col("last.size")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")), F.lit(False))
-    copies = (F.col("whole") + F.when(F.col("sampled") | closing, 1).otherwise(0)).cast("long")
-    return closed.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *also)
+    ranked = docs.alias("d").join(plan.alias("p"), same("d.source", "p.source")).join(level, same("d.source", "l_source"), "left")
+    ranked = ranked.select("d.doc_id", "d.source", "d.size", "d.row", "source_size", "target", "whole", "rest", ((u / (1 - u)) / (p / (1 - p))).alias("odds"))
+    ranked = ranked.withColumn("step", F.floor(F.col("odds") / (F.col("odds") + 1) * STEPS))
+    first = work.save(filled(ranked.filter("size > 0 and odds is not null"), "rest").select(*ranked.columns, "fits"), "first")
+    gaps = first.groupBy(F.col("source").alias("g_source")).agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+    left = first.filter("not fits").drop("fits").join(gaps, same("source", "g_source")).drop("g_source")
+    second = work.save(filled(left.filter(F.col("size") <= F.col("gap")), "gap").unionByName(left.filter(F.col("size") > F.col("gap")).withColumn("fits", F.lit(False))), "second")
+    after = second.groupBy(F.col("source").alias("g_source")).agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("still"))
+    spare = second.filter("not fits").join(after, same("source", "g_source")).withColumn("off", F.abs(F.col("still") - F.col("size"))).filter(F.col("off") < F.col("still"))
+    closing = spare.groupBy("source").agg(F.min(F.struct("off", "odds", "size", F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("last")).select("last.row")
+    sampled = first.filter("fits").select("row").unionByName(second.filter("fits").select("row")).unionByName(closing)
+    told = docs.alias("d").join(plan.alias("p"), same("d.source", "p.source")).join(sampled.withColumn("one", F.lit(1)).alias("s"), F.col("d.row") == F.col("s.row"), "left")
+    copies = (F.col("whole") + F.coalesce("one", F.lit(0))).cast("long")
+    also = [F.col("d.row").alias(row_col)] if row_col else []
+    return told.select("d.doc_id", "d.size", "d.source", "source_size", "target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"), *also)
 
 
 def mixed_rows(df: DataFrame, work: Workspace, id_col: str = "doc_id", **options) -> DataFrame:

@@ -62,7 +62,7 @@ QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_mixing, op3_token_st
 
 OP2_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, row_number() OVER () AS rn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix-1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
@@ -72,20 +72,26 @@ levels AS (SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED P
            FROM capped WINDOW o AS (ORDER BY cap / weight, source COLLATE "binary" NULLS LAST)),
 level AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY cap / weight, source COLLATE "binary" NULLS LAST LIMIT 1),
 plan AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level), 0) * weight)::DOUBLE AS target FROM levels),
-shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM plan),
-rests AS (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest,
-                 greatest(1e-9, least(1 - 1e-9, ratio - floor(ratio))) AS p FROM shares),
-ranked AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, r.rest, d.u, (d.u / (1 - d.u)) / (r.p / (1 - r.p)) AS odds
-           FROM docs d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, size, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM ranked),
-drawn AS (SELECT *, upto <= rest AS sampled FROM summed),
-gaps AS (SELECT source, any_value(rest) - sum(CASE WHEN sampled THEN size ELSE 0 END) AS gap FROM drawn GROUP BY source),
-closing AS (SELECT d.source, d.doc_id, d.size, row_number() OVER (PARTITION BY d.source ORDER BY abs(gap - d.size), odds, d.size, d.doc_id) AS place
-            FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source
-            WHERE NOT sampled AND d.size > 0 AND abs(gap - d.size) < abs(gap))
-SELECT d.doc_id, d.size, d.source_size, d.target,
-       ((d.whole + CASE WHEN d.sampled OR c.place IS NOT NULL THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM drawn d LEFT JOIN closing c ON c.place = 1 AND c.source IS NOT DISTINCT FROM d.source AND c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.size = d.size
+rests AS (SELECT source, source_size, target, whole, target - whole * source_size AS rest
+          FROM (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM plan)),
+levels_in AS (SELECT s.source, s.size, (r.rest - coalesce(sum(s.size * s.n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                     / (sum(s.size * s.size * s.n) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS l
+              FROM (SELECT source, size, count(*) AS n FROM docs WHERE size > 0 GROUP BY source, size) s
+              JOIN rests r ON s.source IS NOT DISTINCT FROM r.source AND r.rest > 0 WINDOW o AS (PARTITION BY s.source ORDER BY s.size DESC)),
+chances AS (SELECT source, arg_max(l, size) AS l FROM levels_in WHERE l * size <= 1 GROUP BY source),
+ranked AS (SELECT d.*, r.rest, (d.u / (1 - d.u)) / (p / (1 - p)) AS odds
+           FROM (SELECT d.*, greatest(1e-9::DOUBLE, least(1 - 1e-9::DOUBLE, c.l * d.size)) AS p FROM docs d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source WHERE d.size > 0) d
+           JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
+first AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, size, doc_id NULLS LAST, rn ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM ranked),
+gapped AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM first),
+second AS (SELECT *, size <= gap AND sum(CASE WHEN size <= gap THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds, size, doc_id NULLS LAST, rn ROWS UNBOUNDED PRECEDING) <= gap AS follows
+           FROM gapped WHERE NOT fits),
+ended AS (SELECT *, gap - sum(CASE WHEN follows THEN size ELSE 0 END) OVER (PARTITION BY source) AS still FROM second),
+closing AS (SELECT rn, row_number() OVER (PARTITION BY source ORDER BY abs(still - size), odds, size, doc_id NULLS LAST, rn) AS place
+            FROM ended WHERE NOT follows AND abs(still - size) < still),
+taken AS (SELECT rn FROM first WHERE fits UNION ALL SELECT rn FROM second WHERE follows UNION ALL SELECT rn FROM closing WHERE place = 1)
+SELECT d.doc_id, d.size, r.source_size, r.target, ((r.whole + CASE WHEN t.rn IS NULL THEN 0 ELSE 1 END) * d.size)::BIGINT AS taken
+FROM docs d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN taken t ON t.rn = d.rn
 """
 
 OP8_SQL = r"""

@@ -180,6 +180,85 @@ def test_mixing(docs, work):
     assert many.columns == docs.columns and many.count() == sum(r["copies"] for r in out)
 
 
+def brute_mix(rows, weights=(5, 2, 1), seed="mix-1"):
+    """(doc_id, size, taken) from the description: targets, whole copies, then an order sample by words."""
+    docs = [(i, s, len(WORDS.findall((t or "").encode()))) for i, t, s in rows]
+    sizes = Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    low, high = 0.0, 3.0 * sum(sizes.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        total = sum(min(level * weights[k % 3], 3 * sizes[s]) for k, s in enumerate(order))
+        low, high = (level, high) if total < sum(sizes.values()) else (low, level)
+    out = []
+    for k, s in enumerate(order):
+        own = [(i, n) for i, x, n in docs if x == s]
+        target = min(high * weights[k % 3], 3 * sizes[s])
+        whole = math.floor(target / sizes[s] + 1e-9) if sizes[s] else 0
+        rest = target - whole * sizes[s]
+        chance, certain = 0.0, set()
+        if rest > 1e-6:
+            while True:
+                chance = (rest - sum(n for j, (_, n) in enumerate(own) if j in certain)) / sum(n * n for j, (_, n) in enumerate(own) if j not in certain)
+                more = {j for j, (_, n) in enumerate(own) if j not in certain and n == max(x for y, (_, x) in enumerate(own) if y not in certain) and chance * n > 1}
+                if not more:
+                    break
+                certain |= more
+        queue = []
+        for i, n in own:
+            u = (int(hashlib.md5(f"{'null' if i is None else i}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = min(max(chance * n, 1e-9), 1 - 1e-9)
+            queue.append(((u / (1 - u)) / (p / (1 - p)), n, i is None, i or 0))
+        queue = sorted(q for q in queue if q[1] and rest > 1e-6)
+        taken, gap = [], rest
+        for again in range(2):
+            room, kept = gap, []
+            stop = False
+            for q in queue:
+                stop |= q[1] <= room and q[1] > gap + 1e-6 or (not again and q[1] > gap + 1e-6)
+                if not stop and q[1] <= gap + 1e-6:
+                    taken.append(q)
+                    gap -= q[1]
+                else:
+                    kept.append(q)
+            queue = kept
+        near = min(queue, key=lambda q: (abs(gap - q[1]), q), default=None)
+        if near and abs(gap - near[1]) < gap:
+            taken.append(near)
+        extra = Counter((None if none else i, n) for _, n, none, i in taken)
+        for i, n in own:
+            one = extra[(i, n)] > 0
+            extra[(i, n)] -= one
+            out.append((i, n, (whole + one) * n))
+    return Counter(out)
+
+
+def test_mixing_by_odds(docs, work):
+    got = mixing.mix(docs, work).collect()
+    assert bag((r["doc_id"], r["size"], r["taken"]) for r in got) == brute_mix([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+
+
+def test_mixing_of_equal_rows(spark, work):
+    rows = [(9, "w " * 40, "a")] * 5 + [(k, "w " * (k % 7 + 1), "b") for k in range(200)] + [(300, None, "c"), (301, " ", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df, work).collect()
+    assert bag((r["doc_id"], r["size"], r["taken"]) for r in got) == brute_mix(rows)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
+    assert mixing.mixed_rows(df, work).filter("source = 'c'").count() == 0
+
+
+def test_mixing_prefers_long_documents(spark, work):
+    rows = [(k, "w " * (1 + 9 * (k % 2)), "ab"[k >= 400]) for k in range(800)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), work).collect()
+    share = lambda n: sum(r["copies"] for r in got if r["source"] == "b" and r["size"] == n) / 200
+    # a document of ten words has ten times the chance of one of a word
+    assert share(10) > 4 * share(1) > 0
+
+
 def same_as_sql(spark, name, sf):
     got = Q.QUERIES[name](spark, sf)
     con = duckdb.connect()
@@ -552,7 +631,7 @@ def shared_rows(r, n=140):
     return rows
 
 
-@pytest.mark.parametrize("split, nearest, few", [(8, 1, 0), (4096, 1, 1 << 20), (16, 4, 0)])
+@pytest.mark.parametrize("split, nearest, few", [(8, (1, 2, None), 0), (4096, (1, None), 1 << 20), (16, (4, None), 0)])
 def test_jaccard_blocks_and_steps(spark, work, monkeypatch, split, nearest, few):
     import random
 
