@@ -34,7 +34,11 @@ class CountingQuotientFilter:
     def of(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, low: int = 0, width: int = 64) -> CountingQuotientFilter:
         """From fingerprints in [low, low + 2**width)."""
         values, inverse = np.unique(fingerprints, return_inverse=True)
-        n = np.bincount(inverse, weights=counts, minlength=len(values)).astype(np.int64)
+        return cls.from_sorted(values, np.bincount(inverse, weights=counts, minlength=len(values)).astype(np.int64), low, width)
+
+    @classmethod
+    def from_sorted(cls, values: np.ndarray, n: np.ndarray, low: int = 0, width: int = 64) -> CountingQuotientFilter:
+        """From distinct fingerprints in order, and their counts."""
         bits = min(width, max(3, int(len(values)).bit_length() + 1))
         rest = width - bits
         quotient = ((values - U64(low)) >> U64(rest)).astype(np.int64) if rest < 64 else np.zeros(len(values), np.int64)
@@ -52,12 +56,15 @@ class CountingQuotientFilter:
 
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter], low: int = 0, width: int = 64) -> CountingQuotientFilter:
-        """Sum of the multisets."""
-        return cls.of(np.concatenate([f.fingerprints(low, width) for f in filters]), np.concatenate([f.counts for f in filters]), low, width)
+        """Sum of the multisets: two neighbours' runs at a time are merged in order, never sorted again."""
+        lists = [(f.fingerprints(low, width), f.counts) for f in filters]
+        while len(lists) > 1:
+            lists = [merge(*lists[i], *lists[i + 1]) if i + 1 < len(lists) else lists[i] for i in range(0, len(lists), 2)]
+        return cls.from_sorted(*lists[0], low, width)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.bits, len(self.remainders)], dtype="<i8").tobytes()
-        return head + np.packbits(self.occupied).tobytes() + np.packbits(self.run_ends).tobytes() + self.remainders.astype("<u8").tobytes() + self.counts.astype("<u4").tobytes()
+        return head + np.packbits(self.occupied).tobytes() + np.packbits(self.run_ends).tobytes() + self.remainders.astype("<u8").tobytes() + self.counts.astype("<u8").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
@@ -67,7 +74,18 @@ class CountingQuotientFilter:
         at += slots // 8
         ends = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
         at += (n + 7) // 8
-        return cls(bits, occupied, ends, np.frombuffer(data, "<u8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n).astype(np.int64))
+        return cls(bits, occupied, ends, np.frombuffer(data, "<u8", n, at), np.frombuffer(data, "<u8", n, at + 8 * n).astype(np.int64))
+
+
+def merge(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ordered lists of distinct values as one, counts of values that both have added."""
+    at = np.searchsorted(a, b)
+    both = np.zeros(len(b), dtype=bool)
+    inside = at < len(a)
+    both[inside] = a[at[inside]] == b[inside]
+    m = m.copy()
+    m[at[both]] += n[both]
+    return np.insert(a, at[~both], b[~both]), np.insert(m, at[~both], n[~both])
 
 
 def normalise(text: bytes) -> bytes:

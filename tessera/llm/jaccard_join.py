@@ -9,8 +9,8 @@ what is scanned, never what is found.
 
 Equal sets are one set. Lists are joined in steps, so that a list of near copies never gives all its pairs: every member
 is first compared with one member of its list. Where members of a list are then still in different components, each
-outside the list's largest component meets the NEAREST few, by sketches, of every other component in the list; only if
-sketches leave more of them open do those follow. Lists of shingles known to be frequent are dealt in blocks of about
+outside the list's largest component meets a few of the other components, the nearest by sketches, more of them in each
+step (NEAREST), until sketches leave nobody out. So what is compared follows the entries, not the pairs of a list. Lists of shingles known to be frequent are dealt in blocks of about
 SPLIT entries, and blocks meet in pairs. Candidates pass a bit-sketch bound and are verified by exact overlap of their
 64-bit shingle hashes; sets are told apart by 128 bits.
 """
@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import U64, chunks, claim, fresh, member, mix, pairs_within, shingle_hashes, tidy, word_hashes
@@ -38,9 +38,10 @@ FLUSH = 1 << 20
 SCAN_COST, MOST_SMALL = 3.0, 24
 #: Least bits of a sketch, which has as many as its set has shingles or up to twice that.
 SKETCH_BITS = 512
-#: Entries of a list's block; members of another component that an entry meets first; groups of entries up to
-#: which all pairs of a batch's groups are looked at together.
-SPLIT, NEAREST, TOGETHER = 4096, 16, 64
+#: Entries of a list's block; groups of entries up to which all pairs of a batch's groups are looked at together.
+SPLIT, TOGETHER = 4096, 64
+#: How many members of other components an entry meets in each step; the last has no bound.
+NEAREST = (4, 32, 256, None)
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -248,8 +249,8 @@ def _fits(percent: int, boundary: int, n, pos, m, other_pos, small):
 
 def _still_apart(percent: int, boundary: int, most: int | None):
     """Rows come sorted by group (a list, or two of its blocks): pairs (a, b) of entries in different components that
-    sizes, places and sketches allow to be linked, b outside the list's main component. With most, b meets only so many
-    of another component in the group, the nearest by sketches, and a row of nulls tells that there are more."""
+    sizes, places and sketches allow to be linked, b outside the list's main component, and in how many bits they differ.
+    With most, b meets only so many in the group, the nearest by sketches, and a row of nulls tells that there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(c: dict[str, np.ndarray], words: np.ndarray) -> pa.RecordBatch:
@@ -291,16 +292,14 @@ def _still_apart(percent: int, boundary: int, most: int | None):
             a, b, differ = (np.concatenate(x) for x in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 3
             more = False
             if most is not None and len(a):
-                group = np.searchsorted(first, b, "right")
-                order = np.lexsort((mix((node[a] ^ node[b]).view(np.uint64)), differ, part[a], b, group))
-                a, b, group = a[order], b[order], group[order]
-                new = np.concatenate([[True], (b[1:] != b[:-1]) | (part[a][1:] != part[a][:-1])])
-                start = np.flatnonzero(new)
+                order = np.lexsort((mix((node[a] ^ node[b]).view(np.uint64)), differ, b))
+                a, b, differ = a[order], b[order], differ[order]
+                start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
                 near = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < most
                 more = not near.all()
-                a, b = a[near], b[near]
-            pairs = np.unique(np.stack([node[a], node[b]]), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(int(more), pa.int64())]) for x in pairs], ["a", "b"])
+                a, b, differ = a[near], b[near], differ[near]
+            pairs = np.unique(np.stack([node[a], node[b], differ]), axis=1) if len(a) else np.zeros((3, 0), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(int(more), pa.int64())]) for x in pairs], ["a", "b", "differ"])
 
         held: pa.Table | None = None
 
@@ -438,11 +437,18 @@ class JaccardJoin:
         """(node, component_id) of nodes that have a link."""
         work = self.work
         links = self.verify(self.near(self.pairs, "star"), "star")
-        for step, most in (("nearest", NEAREST), ("rest", None)):
+        for step, most in enumerate(NEAREST):
             part_of = components(links, work, f"components-{step}")
-            found = work.save(self.apart(part_of, most, step), f"{step}-found")
-            links = links.unionByName(self.verify(found.filter("a is not null").distinct(), step))
-            if not found.filter("a is null").limit(1).count():
+            found = work.save(self.apart(part_of, most, f"step-{step}").distinct(), f"step-{step}-found")
+            pairs, more = found.filter("a is not null"), found.filter("a is null").limit(1).count() > 0
+            if more:
+                # an entry's lists name much the same members: of all that they name it meets so many
+                place = F.row_number().over(Window.partitionBy("b").orderBy("differ", F.xxhash64("a", "b"), "a"))
+                pairs = pairs.withColumn("place", place).filter(F.col("place") <= most)
+            links = links.unionByName(self.verify(pairs.select("a", "b"), f"step-{step}"))
+            for name in ("mains", "found", "near"):
+                work.drop(f"step-{step}-{name}")
+            if not more:
                 break
         return components(links, work, "components").select(F.col("id").alias("node"), "component_id")
 
@@ -461,7 +467,7 @@ class JaccardJoin:
         met = self.lists.withColumn("beside", other).withColumns({"low": F.least("block", "beside"), "high": F.greatest("block", "beside")}).join(self.sketches.select("node", *WORDS), "node")
         self.lists = self.lists.select("sh", *ENTRY)
         met = met.select("sh", "small", "low", "high", "node", "n", "pos", "block", "component_id", "main", *WORDS)
-        return met.repartition(self.parts, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(tidy(_still_apart(self.percent, self.boundary, most)), "a long, b long")
+        return met.repartition(self.parts, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(tidy(_still_apart(self.percent, self.boundary, most)), "a long, b long, differ long")
 
 
 WORDS = [f"w{k}" for k in range(SKETCH_BITS // 64)]
