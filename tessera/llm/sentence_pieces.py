@@ -2,10 +2,14 @@
 
 The text is cut at marked words: a run of marks (spaces) with the characters up to the next. No piece of the
 vocabulary reaches over such a cut, so words can be segmented alone. The distinct new words of a batch are sorted, which
-puts them in the depth-first order of their trie, and the best scores up to each shared prefix are kept on a stack:
-a word continues from the prefix it shares with the word before. Scores are the model's own; the best segmentation is
-the one of the greatest sum, of equal ones that whose last piece is longest. A character outside the vocabulary becomes
-the pieces of its UTF-8 bytes.
+puts them in the depth-first order of their trie, and the best segmentation of each shared prefix is kept on a stack: a
+word continues from the prefix it shares with the word before. A character outside the vocabulary becomes the pieces of
+its UTF-8 bytes.
+
+What is best is the library's for the kind of model that the file says it holds. Unigram: the greatest sum of scores,
+of equal ones that whose last piece is longest. Merges: the outcome of merging the neighbours of the best score first,
+for which a prefix has one last piece only: the one whose neighbour before it, in the outcome of the rest, would not
+have merged with it or with a part of it first.
 """
 
 from __future__ import annotations
@@ -28,12 +32,46 @@ from ._work import Workspace, as_bytes
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 450_000
+#: Distinct words whose ids a worker remembers, and neighbours of which it remembers whether they stay apart.
+REMEMBERED, NEIGHBOURS = 450_000, 400_000
+# Fixed values of the model file's format: kinds of model.
+UNIGRAM, MERGES = 1, 2
 #: How far below the least score an unknown character's is.
 UNKNOWN = 10.0
 
 
+def fields(data: bytes):
+    """(number, value) of a protocol buffer's fields; groups don't occur in model files."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def kind_of(path: str) -> int:
+    """The kind of model that a file says it holds (field 3 of the file's field 2; unigram where it says nothing)."""
+    with open(path, "rb") as f:
+        trainer = b"".join(v for k, v in fields(f.read()) if k == 2)
+    return ([v for k, v in fields(trainer) if k == 3] or [UNIGRAM])[-1]
+
+
 class Model:
     """The pieces and scores of a model file with an identity normaliser and byte fallback."""
 
@@ -68,9 +106,108 @@ class Model:
             if model.is_control(i):
                 self.raw[i] = b""
         self.words: dict[str, bytes] = {}
+        self.merging = kind_of(path) == MERGES
+        if self.merging:
+            self._learn_merges()
+
+    def _learn_merges(self) -> None:
+        """Ranks of pieces (characters have none), and how each one's last and first part grow while it is merged."""
+        by_score = sorted((p for p in self.pieces if len(p) > 1), key=lambda p: -self.pieces[p][0])
+        self.rank = {p: k for k, p in enumerate(by_score)}
+        parts = {p: self._last_merge(p) for p in by_score}
+        # a piece that merging its own characters doesn't give is never in an outcome
+        self.found = {p: i for p, (_, i) in self.pieces.items() if len(p) == 1 or parts[p]}
+
+        def grown(piece: str, side: int) -> list[str]:
+            chain = [piece]
+            while len(chain[-1]) > 1:
+                chain.append(parts[chain[-1]][side])
+            return chain[::-1]
+
+        self.tails, self.heads = {p: grown(p, 1) for p in self.found}, {p: grown(p, 0) for p in self.found}
+        self.apart: dict[tuple[str, str], bool] = {}
+
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge gives the piece, or None where merging its characters gives something else."""
+        now = list(piece)
+        while len(now) > 2:
+            ranks = [self.rank.get(a + b, inf) for a, b in zip(now, now[1:])]
+            k = ranks.index(least := min(ranks))
+            if least == inf:
+                return None
+            now[k : k + 2] = [now[k] + now[k + 1]]
+        return (now[0], now[1]) if len(now) == 2 else None
+
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether a and b, each of which merging gives, are both left when they stand side by side.
+
+        a's last part and b's first one grow in the order of their ranks; they fall together where their own merge comes
+        before either grows further (of equal ranks the one further left goes first).
+        """
+        got = self.apart.get((a, b))
+        if got is None:
+            rank, tails, heads, i, j = self.rank, self.tails[a], self.heads[b], 0, 0
+            while True:
+                own = rank.get(tails[i] + heads[j], inf)
+                left = rank[tails[i + 1]] if i + 1 < len(tails) else inf
+                right = rank[heads[j + 1]] if j + 1 < len(heads) else inf
+                if own < left and own <= right:
+                    got = False
+                    break
+                if left == right == inf:
+                    got = True
+                    break
+                if left <= right:
+                    i += 1
+                else:
+                    j += 1
+            if len(self.apart) >= NEIGHBOURS:
+                self.apart.clear()
+            self.apart[a, b] = got
+        return got
+
+    def merged(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each distinct word, as the model's merges give them."""
+        out: dict[str, bytes] = {}
+        # at depth j of the stacks: the last piece of the first j characters (None: an unknown one), and the ids so far
+        last, ids = [None], [()]
+        before, found, ends, apart = "", self.found, self.ends, self.stay_apart
+        for word in sorted(words):
+            keep = len(commonprefix((before, word))) + 1
+            del last[keep:], ids[keep:]
+            for j in range(keep, len(word) + 1):
+                i = j
+                while i:
+                    i -= 1
+                    part = word[i:j]
+                    which = found.get(part)
+                    if which is not None and (not i or last[i] is None or apart(last[i], part)):
+                        last.append(part)
+                        ids.append((ids[i], which))
+                        break
+                    if part not in ends:
+                        break
+                if len(last) == j:
+                    if word[j - 1] in found:
+                        raise ValueError(f"no outcome of merges for {word[:j]!r}")
+                    last.append(None)
+                    ids.append((ids[j - 1], -ord(word[j - 1]) - 1))
+            before, listed, at = word, [], ids[len(word)]
+            while at:
+                at, which = at
+                if which >= 0:
+                    listed.append(which)
+                elif self.bytes:
+                    listed += [self.bytes[b] for b in reversed(chr(-which - 1).encode())]
+                else:
+                    listed.append(self.unknown)
+            out[word] = pack("<%dI" % len(listed), *listed[::-1])
+        return out
 
     def segment(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word, as little-endian unsigned 32-bit integers."""
+        if self.merging:
+            return self.merged(words)
         out: dict[str, bytes] = {}
         # at depth j of the stacks: the best score of the first j characters, where its last piece starts, and its id
         score, back, piece = [0.0], [0], [-1]

@@ -655,35 +655,52 @@ def test_boundary_follows_cost():
 # SentencePiece
 
 
-def test_pieces(docs, work):
-    model = sentence_pieces.Model.of(Q.PIECES)
+def unigram_file(path):
+    """The public file's pieces as a unigram model: scores like logarithms of probabilities, whose sums are exact."""
+    import struct
 
-    def brute(text):
-        s = (sentence_pieces.MARK + text.replace(" ", sentence_pieces.MARK)) if text else ""
-        best = [(0.0, None, None)]
-        for j in range(1, len(s) + 1):
-            found = (-math.inf, None, None)
-            for i in range(max(0, j - 16), j):
-                got = model.pieces.get(s[i:j]) or ((model.floor, -1) if i == j - 1 else None)
-                if got and best[i][0] + got[0] > found[0]:
-                    found = (best[i][0] + got[0], i, got[1])
-            best.append(found)
-        ids, j = [], len(s)
-        while j:
-            _, i, k = best[j]
-            ids = ([k] if k >= 0 else [model.bytes[b] for b in s[i:j].encode()]) + ids
-            j = i
-        return ids
+    size = lambda n: bytes([n & 127 | 128, n >> 7]) if n > 127 else bytes([n])
+    block = lambda k, body: bytes([k << 3 | 2]) + size(len(body)) + body
+    out = b""
+    for k, v in sentence_pieces.fields(open(Q.PIECES, "rb").read()):
+        if k == 1:
+            f = dict(sentence_pieces.fields(v))
+            rank = min(-struct.unpack("<f", f[2])[0], 40_000.0) if 2 in f else 0.0
+            score = -round(64 * (2 + math.log(abs(rank) + 2))) / 64
+            v = block(1, f[1]) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + (bytes([3 << 3, f[3]]) if 3 in f else b"")
+        out += block(k, v)
+    path.write_bytes(out + block(2, bytes([3 << 3, 1])))
+    return str(path)
+
+
+@pytest.fixture(params=["merges", "unigram"])
+def model_file(request, tmp_path):
+    return Q.PIECES if request.param == "merges" else unigram_file(tmp_path / "unigram.model")
 
+
+def test_pieces_are_the_library_s(docs, work, model_file):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model_file)
     rows = [(i, t or "") for i, t in pairs(docs)]
-    rows = rows[:60] + [x for x in rows[60:] if len(x[1]) < 500]
-    ids = {t: brute(t) for _, t in rows if len(t) < 4000}
-    got = {(r["doc_id"], r["decoded_sha256"]): r for r in sentence_pieces.encode(docs, work, Q.PIECES, with_ids=True).collect()}
-    for i, t in rows:
-        r = got[(i, hashlib.sha256(t.encode()).hexdigest())]
-        assert r["same_text"]
-        if t in ids:
-            assert r["ids"] == ids[t] and r["n_pieces"] == len(ids[t]) and r["ids_crc32"] == zlib.crc32(np.array(ids[t], "<u4").tobytes())
+    want = [(i, tuple(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(t.encode()).hexdigest(), True) for (i, t), ids in zip(rows, library.encode([t for _, t in rows], num_threads=1))]
+    got = sentence_pieces.encode(docs, work, model_file, with_ids=True).collect()
+    assert bag((r["doc_id"], tuple(r["ids"]), r["ids_crc32"], r["decoded_sha256"], r["same_text"]) for r in got) == bag(want)
+    assert all(r["n_pieces"] == len(r["ids"]) for r in got)
+
+
+def test_pieces_of_odd_words(model_file):
+    import random
+
+    import sentencepiece
+
+    library, model, r = sentencepiece.SentencePieceProcessor(model_file=model_file), sentence_pieces.Model(model_file), random.Random(3)
+    names = [p for p in model.pieces if len(p) > 1]
+    texts = ["".join(r.choice("aeinrst lohE.,1é日😀\x00") for _ in range(r.randint(1, 40))) for _ in range(4000)]
+    texts += ["".join(r.choice(names) for _ in range(r.randint(1, 4))).replace(sentence_pieces.MARK, " ") for _ in range(4000)]
+    texts += ["a" * n for n in range(60)] + ["=" * n + " " * (n % 7) for n in range(60)] + ["abab" * n for n in range(30)]
+    for text, ids in zip(texts, model.encode_batch(texts)):
+        assert ids.tolist() == library.encode(text), text
 
 
 def test_pieces_decode(spark, work):
