@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U64, fresh, tidy
-from ._work import Workspace, as_bytes, per_gb_partitions, semi_join
+from ._work import Workspace, as_bytes, per_gb_partitions, semi_join, small_side
 
 #: Rows whose fingerprints one task holds before it packs them.
 FLUSH_ROWS = 1 << 20
@@ -178,6 +178,6 @@ def exact_dedup(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
 def drop_copies(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_dedup drops; all columns stay as they are."""
     row = fresh("row_number", df.columns)
-    keyed = work.save(df.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    kept = exact_dedup(keyed, work, id_col, text_col, row).filter("kept").select(F.col("row").alias(row))
-    return keyed.join(work.save(kept, "kept"), row, "left_semi").select(*df.columns)
+    keyed = work.numbered(df, row)
+    dropped = exact_dedup(keyed, work, id_col, text_col, row).filter("not kept").select(F.col("row").alias(row))
+    return keyed.join(small_side(work.save(dropped, "dropped")), row, "left_anti").select(*df.columns)

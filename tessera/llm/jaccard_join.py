@@ -445,8 +445,8 @@ class JaccardJoin:
                 # an entry's lists name much the same members: of all that they name it meets so many
                 place = F.row_number().over(Window.partitionBy("b").orderBy("differ", F.xxhash64("a", "b"), "a"))
                 pairs = pairs.withColumn("place", place).filter(F.col("place") <= most)
-            links = links.unionByName(self.verify(pairs.select("a", "b"), f"step-{step}"))
-            for name in ("mains", "found", "near"):
+            links = links.unionByName(self.verify(self.near(pairs, f"step-{step}"), f"step-{step}"))
+            for name in ("mains", "found", "pairs", "near"):
                 work.drop(f"step-{step}-{name}")
             if not more:
                 break
@@ -514,9 +514,9 @@ def jaccard_components(df: DataFrame, work: Workspace, width: int = 4, percent:
 def drop_near_copies(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one row of each component, that of the smallest id; all columns stay as they are."""
     row = fresh("row_number", df.columns)
-    keyed = work.save(df.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    found = jaccard_components(keyed, work, id_col=id_col, text_col=text_col, row_col=row, **options)
-    lone = found.filter("doc_id is null").select("row")
-    kept = found.filter("doc_id is not null").withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("row"))).groupBy("component_id", "empty").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
-    kept = work.save(kept.union(lone).select(F.col("row").alias(row)), "kept")
-    return keyed.join(kept, row, "left_semi").select(*df.columns)
+    keyed = work.numbered(df, row)
+    found = jaccard_components(keyed, work, id_col=id_col, text_col=text_col, row_col=row, **options).filter("doc_id is not null")
+    found = work.save(found.withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("row"))), "found")
+    kept = found.groupBy("component_id", "empty").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    dropped = work.save(found.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)), "dropped")
+    return keyed.join(small_side(dropped), row, "left_anti").select(*df.columns)

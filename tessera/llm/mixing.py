@@ -17,7 +17,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ._bytes import fresh
-from ._work import Workspace
+from ._work import Workspace, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Steps into which the order of a source is cut; only one step of a source is sorted.
@@ -131,7 +131,7 @@ def mix(df: DataFrame, work: Workspace, weights: Sequence[float] = (5, 2, 1), ma
 def mixed_rows(df: DataFrame, work: Workspace, id_col: str = "doc_id", **options) -> DataFrame:
     """df with each row as often as the mix takes it; all columns stay as they are."""
     row, many = fresh("row_number", df.columns), fresh("row_copies", df.columns)
-    keyed = work.save(df.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    keyed = work.numbered(df, row)
     copies = mix(keyed, work, id_col=id_col, row_col=row, **options).select(row, F.col("copies").alias(many)).filter(F.col(many) > 0)
-    out = keyed.join(work.save(copies, "copies"), row)
+    out = keyed.join(small_side(work.save(copies, "copies")), row)
     return out.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col(many).cast("int"))).alias(many)).select(*df.columns)
