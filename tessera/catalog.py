@@ -133,6 +133,11 @@ def join_anti(t):
     return t("customer").select("c_custkey").join(t("orders"), left_on="c_custkey", right_on="o_custkey", how="anti")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def join_anti_some(t):
+    return t("customer").select("c_custkey", "c_name").join(t("orders").filter(col("o_totalprice") > 200000), left_on="c_custkey", right_on="o_custkey", how="anti")
+
+
 @query("SELECT a.o_orderkey, a.o_custkey, b.o_orderkey AS o_orderkey_right FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus")
 def join_keys_suffix(t):
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -356,6 +361,19 @@ def parse_times(t):
     return t("events").select("event_id", text.str.to_date("%Y-%m-%d").alias("d"), text.str.to_datetime("%d/%m/%Y %H:%M:%S").alias("none"))
 
 
+@query("""SELECT event_id, date_trunc('second', ts) AS back, date_trunc('month', ts)::TIMESTAMP AS month, CAST(floor(microsecond(ts) % 1000000 / 1000) AS INTEGER) AS ms,
+  (microsecond(ts) % 1000000)::BIGINT * 1000 AS ns FROM events""")
+def parse_datetimes(t):
+    back = col("ts").dt.to_string("%d/%m/%Y %H:%M:%S").str.to_datetime("%d/%m/%Y %H:%M:%S")
+    return t("events").select("event_id", back.alias("back"), col("ts").dt.truncate("1mo").alias("month"), col("ts").dt.millisecond().alias("ms"), col("ts").dt.nanosecond().alias("ns"))
+
+
+@query("""SELECT p_partkey, p_retailprice AS price, regexp_replace(p_name, '(\w+) (\w+)', '\2 \1') AS swapped, p_name AS "name_x" FROM part""")
+def rename_and_swap(t):
+    swapped = col("p_name").str.replace_all(r"(\w+) (\w+)", "${2} ${1}", regex=True)
+    return t("part").select("p_partkey", "p_retailprice", "p_name", swapped.alias("swapped")).rename("p_retailprice", "price").rename("p_name", "name_x")
+
+
 @query("""SELECT vec_id, embedding[1] AS head, embedding[-1] AS last, NULL::FLOAT AS out, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total, round(list_avg(embedding::DOUBLE[]), 6) AS mean, list_min(embedding) AS low, list_max(embedding) AS high,
   list_reverse_sort(embedding)[1] AS top, list_contains(embedding, embedding[3]) AS has FROM embeddings""")
 def lists(t):

@@ -149,6 +149,9 @@ class Expr:
     def is_nan(self) -> Expr:
         return self.map(lambda c: F.when(c.isNotNull(), F.isnan(c)))
 
+    def is_not_nan(self) -> Expr:
+        return self.map(lambda c: F.when(c.isNotNull(), ~F.isnan(c)))
+
     def is_finite(self) -> Expr:
         return self.map(lambda c: F.when(c.isNotNull(), ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))))
 

@@ -49,7 +49,9 @@ class Strings:
         return self.e.map(cut)
 
     def replace_all(self, pattern: str, value: str, regex: bool = False) -> Expr:
-        return self.e.map(lambda c: F.regexp_replace(c, java_regex(pattern), value) if regex else F.replace(c, F.lit(pattern), F.lit(value)))
+        """In a regex's value, $1, ${1} and ${name} are groups."""
+        filled = re.sub(r"\$\{(\d+)\}", r"$\1", value)
+        return self.e.map(lambda c: F.regexp_replace(c, java_regex(pattern), filled) if regex else F.replace(c, F.lit(pattern), F.lit(value)))
 
     def extract(self, pattern: str, group: int = 1) -> Expr:
         """Null where nothing matches."""
@@ -151,6 +153,8 @@ class Temporal:
 
     def truncate(self, every: str) -> Expr:
         d = parse_duration(every)
+        if d.months and d.micros:
+            raise ValueError(f"{every!r} mixes months with shorter units")
 
         def cut(c: Column, ctx: Context) -> Column:
             if d.months:

@@ -84,7 +84,10 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "__ordinal"
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
     ranged = ranged.checkpoint()
     sizes = ranged.groupBy("__part").count()
     # one row for each partition

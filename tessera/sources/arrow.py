@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
@@ -14,8 +15,12 @@ from ..frame import Frame
 from ..session import active
 
 
-def from_arrow(data: pa.Table | pa.RecordBatch) -> Frame:
-    table = data if isinstance(data, pa.Table) else pa.Table.from_batches([data])
+def from_arrow(data: pa.Table | pa.RecordBatch | pa.RecordBatchReader | Iterable[pa.RecordBatch]) -> Frame:
+    """A table, a batch, or a stream of batches, which is read to its end; of a reader an empty one keeps its schema."""
+    if isinstance(data, pa.RecordBatchReader):
+        table = data.read_all()
+    else:
+        table = data if isinstance(data, pa.Table) else pa.Table.from_batches([data] if isinstance(data, pa.RecordBatch) else list(data))
     return Frame(active().createDataFrame(table))
 
 
@@ -81,8 +86,13 @@ def read_ipc(path: str) -> Frame:
 
 
 def write_ipc(frame: Frame, path: str) -> None:
-    """One file a partition, written by its task under another name and then renamed."""
+    """One file a partition, in place of all that an earlier write left in the folder.
+
+    Tasks write under names of this run, and only once all have ended do the files get theirs; a run that fails leaves
+    the folder as it was. The folder must be on a path that the driver and all executors mount.
+    """
     os.makedirs(path, exist_ok=True)
+    run = uuid.uuid4().hex
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(frame.df.schema)
@@ -91,13 +101,19 @@ def write_ipc(frame: Frame, path: str) -> None:
         from pyspark import TaskContext
 
         at = os.path.join(path, f"part-{TaskContext.get().partitionId():05d}.arrow")
-        with pa.OSFile(at + ".part", "wb") as sink, pa.ipc.new_file(sink, schema) as out:
+        mine = f"{at}.{TaskContext.get().taskAttemptId()}-{run}"
+        with pa.OSFile(mine, "wb") as sink, pa.ipc.new_file(sink, schema) as out:
             for b in batches:
                 out.write_batch(b.cast(schema))
-        os.replace(at + ".part", at)
-        yield pa.RecordBatch.from_pydict({"path": [at]})
-
-    frame.df.mapInArrow(write, "path string").collect()
+        yield pa.RecordBatch.from_pydict({"at": [at], "mine": [mine]})
+
+    written = {r["at"]: r["mine"] for r in frame.df.mapInArrow(write, "at string, mine string").collect()}
+    for old in set(glob.glob(os.path.join(path, "part-*.arrow"))) - set(written):
+        os.remove(old)
+    for at, mine in written.items():
+        os.replace(mine, at)
+    for spare in glob.glob(os.path.join(path, f"part-*-{run}")):
+        os.remove(spare)
 
 
 class _BatchReader(DataSourceReader):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,32 +15,49 @@ from ..session import active
 def read_csv(path: str, schema: Mapping[str, str | T.DataType] | None = None, header: bool = True, separator: str = ",", skip_rows: int = 0, parse_dates: bool = True) -> Frame:
     """Types are inferred but for the columns named in schema. Blank lines are rows of nulls, as empty fields are null.
 
-    skip_rows counts lines at the start of the file, which must then be one file. Without skip_rows Spark's own reader
-    splits files among tasks.
+    skip_rows counts lines at the start of each file. Files of one column, whose blank lines Spark's own reader would
+    leave out, and skipped lines are read as lines; else Spark's reader splits files among tasks. All files must have
+    one header.
     """
     spark = active()
     if not skip_rows:
         plain = spark.read.csv(path, header=header, sep=separator, inferSchema=True, ignoreLeadingWhiteSpace=False)
         if len(plain.columns) > 1:
             return Frame(_overridden(plain, schema or {}, parse_dates))
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    # line numbers of one file: ids rise with its partitions, so a bounded head tells which lines to leave out
-    head = [r["at"] for r in lines.orderBy("at").limit(skip_rows + 1).collect()]
-    first = spark.read.text(path).limit(0) if len(head) <= skip_rows else None
-    if first is not None:
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    # one row a file: its first line after those skipped
+    place = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    heads = lines.withColumn("place", place).filter(F.col("place") <= skip_rows + 1).filter(F.col("place") == skip_rows + 1)
+    tops = [r["value"] for r in heads.select("value").distinct().limit(2).collect()] if header else [r["value"] for r in heads.orderBy("file").limit(1).collect()]
+    if not tops:
         raise ValueError("there are no lines after those skipped")
-    top = lines.filter(F.col("at") == head[skip_rows]).select("value").first()["value"]
-    names = next(iter(spark.createDataFrame([(top,)], "v string").select(F.from_csv("v", F.lit(", ".join(f"c{k} string" for k in range(top.count(separator) + 1))), {"sep": separator}).alias("x")).select("x.*").collect()))
+    if len(tops) > 1:
+        raise ValueError(f"files have different headers: {tops}")
+    ddl = ", ".join(f"c{k} string" for k in range(tops[0].count(separator) + 1))
+    names = list(spark.createDataFrame(tops, "string").select(F.from_csv("value", F.lit(ddl), {"sep": separator}).alias("x")).select("x.*").first())
     names = [str(n) for n in names if n is not None] if header else [f"column_{k + 1}" for k in range(len(names))]
-    body = lines.filter(F.col("at") > head[skip_rows] if header else F.col("at") >= head[skip_rows])
-    ddl = ", ".join(f"`{n}` string" for n in names)
-    raw = body.select(F.from_csv("value", F.lit(ddl), {"sep": separator}).alias("x")).select("x.*")
-    inferred = spark.read.csv(body.select("value").rdd.map(lambda r: r[0]), sep=separator, inferSchema=True)
-    kinds = {n: f.dataType for n, f in zip(names, inferred.schema.fields)}
-    typed = raw.select(*[F.col(f"`{n}`").try_cast(kinds.get(n, T.StringType())).alias(n) for n in names])
+    # as many rows as the file listing, which the driver holds anyway; lines keep their order so
+    body = lines.join(F.broadcast(heads.select("file", F.col("at").alias("head"))), "file")
+    body = body.filter(F.col("at") > F.col("head") if header else F.col("at") >= F.col("head"))
+    raw = body.select(F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"sep": separator}).alias("x")).select("x.*")
+    kinds = _inferred(raw)
+    typed = raw.select(*[F.col(f"`{n}`").try_cast(kinds[n]).alias(n) for n in names])
     return Frame(_overridden(typed, schema or {}, parse_dates, raw))
 
 
+# Types in the order in which they are tried, and how their texts look.
+LOOKS = {"int": r"^\s*[+-]?\d+\s*$", "bigint": r"^\s*[+-]?\d+\s*$", "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", "date": r"^\d{4}-\d{2}-\d{2}$", "timestamp": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", "boolean": r"^(?i:true|false)$"}
+
+
+def _inferred(raw: DataFrame) -> dict[str, str]:
+    """The first type that every value of a column has; string where none does, or there is no value."""
+    value = lambda n: F.col(f"`{n}`")
+    every = [F.every(value(n).isNull() | (value(n).rlike(look) & value(n).try_cast(kind).isNotNull())).alias(f"{k}-{kind}") for k, n in enumerate(raw.columns) for kind, look in LOOKS.items()]
+    got = raw.agg(*every, *[F.count(value(n)).alias(f"{k}-n") for k, n in enumerate(raw.columns)]).first()
+    return {n: next((kind for kind in LOOKS if got[f"{k}-n"] and got[f"{k}-{kind}"]), "string") for k, n in enumerate(raw.columns)}
+
+
 def _overridden(df, schema, parse_dates, raw=None):
     source = raw if raw is not None else df
     out = []

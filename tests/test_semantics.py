@@ -230,3 +230,54 @@ def test_without_corpus_operators():
         if "llm" not in p.parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", p.read_text())
     assert if_else(lit(True), 1, 2) is not None
+
+
+def test_csv_of_one_column_in_several_files(spark, tmp_path):
+    from tessera import sources
+
+    (tmp_path / "a.csv").write_text("age\n1\n2\n")
+    (tmp_path / "b.csv").write_text("age\n\n3\n")
+    got = sources.read_csv(str(tmp_path))
+    assert got.df.schema["age"].dataType.simpleString() == "int"
+    assert sorted((r[0] is None, r[0]) for r in got.df.collect()) == [(False, 1), (False, 2), (False, 3), (True, None)]
+    (tmp_path / "c.csv").write_text("other\n4\n")
+    with pytest.raises(ValueError):
+        sources.read_csv(str(tmp_path))
+
+
+def test_csv_skips_lines_of_each_file(spark, tmp_path):
+    from tessera import sources
+
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"# note {k}\nn,day,x,ok,t\n{k},2024-01-0{k + 1},{k}.5,true,a{k}\n")
+    got = sources.read_csv(str(tmp_path), skip_rows=1).df
+    assert [f.dataType.simpleString() for f in got.schema] == ["int", "date", "double", "boolean", "string"]
+    assert sorted(r["t"] for r in got.collect()) == ["a0", "a1", "a2"]
+
+
+def test_ipc_write_replaces_what_was_there(spark, tmp_path):
+    from tessera import Frame, sources
+
+    at = str(tmp_path / "t")
+    sources.write_ipc(Frame(spark.range(8).repartition(4)), at)
+    sources.write_ipc(Frame(spark.range(3).coalesce(1)), at)
+    assert sorted(r[0] for r in sources.read_ipc(at).df.collect()) == [0, 1, 2]
+    assert len(list((tmp_path / "t").iterdir())) == 1
+
+
+def test_arrow_streams(spark):
+    import pyarrow as pa
+
+    from tessera import sources
+
+    batches = [pa.RecordBatch.from_pydict({"n": [k, None]}) for k in range(3)]
+    assert sources.from_arrow(iter(batches)).df.count() == 6
+    reader = pa.RecordBatchReader.from_batches(pa.schema([("n", pa.int32())]), iter([]))
+    assert sources.from_arrow(reader).df.schema["n"].dataType.simpleString() == "int" and sources.from_arrow(reader).df.count() == 0
+
+
+def test_truncate_refuses_months_with_days(spark):
+    from tessera import Frame, col
+
+    with pytest.raises(ValueError):
+        Frame(spark.sql("SELECT TIMESTAMP_NTZ'2024-03-05 00:00:00' AS t")).select(col("t").dt.truncate("1mo2d"))
