@@ -368,7 +368,7 @@ def parse_datetimes(t):
     return t("events").select("event_id", back.alias("back"), col("ts").dt.truncate("1mo").alias("month"), col("ts").dt.millisecond().alias("ms"), col("ts").dt.nanosecond().alias("ns"))
 
 
-@query("""SELECT p_partkey, p_retailprice AS price, regexp_replace(p_name, '(\w+) (\w+)', '\2 \1') AS swapped, p_name AS "name_x" FROM part""")
+@query(r"""SELECT p_partkey, p_retailprice AS price, regexp_replace(p_name, '(\w+) (\w+)', '\2 \1', 'g') AS swapped, p_name AS name_x FROM part""")
 def rename_and_swap(t):
     swapped = col("p_name").str.replace_all(r"(\w+) (\w+)", "${2} ${1}", regex=True)
     return t("part").select("p_partkey", "p_retailprice", "p_name", swapped.alias("swapped")).rename("p_retailprice", "price").rename("p_name", "name_x")
