@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sources
 from .frame import Frame, concat
 from .functions import all_columns, as_struct, by_dtype, col, ends_with, if_else, length, lit, map_batches, map_values, matches, numeric, starts_with
+from .series import from_series
 from .sql import SqlContext
 from .streaming import session_windows, tumbling
 
@@ -41,7 +42,10 @@ def scratch() -> str:
     """A folder that all executors see."""
     from .session import active
 
-    root = active().conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    root = active().conf.get("spark.checkpoint.dir", None)
+    if root is None and not active().sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or f"file://{tempfile.gettempdir()}"
     return f"{root}/tessera-{uuid.uuid4().hex}"
 
 
@@ -479,3 +483,49 @@ def parquet_round_trip(t):
     at = scratch()
     sources.write_parquet(t("region").select(all_columns()), at)
     return sources.read_parquet(at)
+
+
+# series, and orders that groups keep
+
+
+@query("SELECT c_custkey, round(c_acctbal - (SELECT avg(c_acctbal) FROM customer), 4) AS off, c_acctbal > 0 AS credit FROM customer")
+def series_arithmetic(t):
+    f = t("customer").ordered_by("c_custkey")
+    balance = f.column("c_acctbal")
+    off = balance - balance.mean()
+    return from_series(f.column("c_custkey"), off.rename("off"), (balance > 0).rename("credit")).with_columns(col("off").round(4))
+
+
+@query("""SELECT c.k AS c_custkey, s.k AS o_orderkey, c.k + s.k AS both FROM
+  (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) c JOIN
+  (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) s USING (n)""")
+def series_of_two_frames(t):
+    left = t("customer").ordered_by("c_custkey").column("c_custkey")
+    right = t("orders").ordered_by("o_orderkey").column("o_orderkey").slice(0, len(left))
+    return from_series(left, right, (left + right).rename("both"))
+
+
+@query("""SELECT CASE WHEN s IS NULL THEN -1 ELSE s END AS s, count(*) AS n, count(s) AS some FROM
+  (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 5 END AS s FROM orders) GROUP BY 1""")
+def fill_nan_groups(t):
+    key = if_else(col("o_orderkey") % 7 == 0, lit(float("nan")), (col("o_orderkey") % 5).cast("double"))
+    f = t("orders").with_columns(key.alias("s")).with_columns(col("s").fill_nan(-1.0).alias("filled"), col("s").is_not_nan().alias("some"))
+    return f.group_by(col("filled").cast("long").alias("s")).agg(length().alias("n"), col("some").sum().alias("some"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_nationkey AS nation FROM customer")
+def unnest_struct(t):
+    packed = as_struct(col("c_name").alias("name"), col("c_nationkey").alias("nation"))
+    return t("customer").select("c_custkey", packed.alias("of")).unnest("of")
+
+
+@query("SELECT o_orderpriority, min(o_orderkey) AS first_key, count(*) AS n FROM orders GROUP BY ALL ORDER BY first_key")
+def group_stable(t):
+    return t("orders").ordered_by("o_orderkey").group_by_stable("o_orderpriority").agg(col("o_orderkey").first().alias("first_key"), length().alias("n"))
+
+
+@query("""SELECT o_orderkey, o_orderdate::TIMESTAMP + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 90 MINUTE WHEN 1 THEN INTERVAL '1 month' WHEN 2 THEN INTERVAL '-3 days'
+  ELSE INTERVAL '5 milliseconds' END AS at FROM orders""")
+def offset_by_rows(t):
+    by = if_else(col("o_orderkey") % 4 == 0, lit("1h30m"), if_else(col("o_orderkey") % 4 == 1, lit("1mo"), if_else(col("o_orderkey") % 4 == 2, lit("-3d"), lit("5ms"))))
+    return t("orders").select("o_orderkey", col("o_orderdate").dt.offset_by(by).alias("at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import operators as O
+from .errors import ColumnNotFound
 from .functions.expr import Context, Expr, Named, gathered, parse
 from .operators.dynamic import LOWER, UPPER
 
@@ -60,7 +61,7 @@ class Frame:
     def _known(self, *names: str) -> None:
         missing = [n for n in names if n not in self.df.columns]
         if missing:
-            raise ValueError(f"no such column: {', '.join(missing)}")
+            raise ColumnNotFound(f"no such column: {', '.join(missing)}")
 
     def drop(self, *names: str) -> Frame:
         self._known(*names)
@@ -153,6 +154,11 @@ class Frame:
     def group_by(self, *keys: Any) -> Grouped:
         return Grouped(self, self._row_wise(keys))
 
+    def group_by_stable(self, *keys: Any) -> Grouped:
+        """Groups come in the order in which the frame's order meets them first."""
+        Context(self.df, self.order).rows()
+        return Grouped(self, self._row_wise(keys), stable=True)
+
     def group_by_dynamic(self, time: str, every: Any, period: Any = None, offset: Any = "0s", by: Sequence[str] = (), label: str = "left", include_boundaries: bool = False, closed: str = "left", start_by: str = "window_bound") -> DynamicGrouped:
         return DynamicGrouped(self, time, every, period, offset, by, label, include_boundaries, closed, start_by)
 
@@ -196,6 +202,27 @@ class Frame:
     def collect_async(self) -> Future:
         return _POOL.submit(self.df.collect)
 
+    def collect_streaming(self) -> Iterator[Any]:
+        """Rows one partition after another, the next being made while one is read; the driver never holds them all."""
+        return self.df.toLocalIterator(prefetchPartitions=True)
+
+    def lazy(self) -> Frame:
+        return self
+
+    def column(self, which: str | int) -> Any:
+        from .series import column
+
+        return column(self, which)
+
+    def get_columns(self) -> list:
+        return [self.column(c) for c in self.df.columns]
+
+    def print_schema(self) -> None:
+        print(self.schema_text())
+
+    def schema_text(self) -> str:
+        return "\n".join(f"{f.name}: {f.dataType.simpleString()}" for f in self.df.schema.fields)
+
     def to_arrow(self):
         return self.df.toArrow()
 
@@ -216,8 +243,8 @@ class Frame:
 
 
 class Grouped:
-    def __init__(self, frame: Frame, keys: list[Named]) -> None:
-        self.frame, self.keys = frame, keys
+    def __init__(self, frame: Frame, keys: list[Named], stable: bool = False) -> None:
+        self.frame, self.keys, self.stable = frame, keys, stable
 
     def agg(self, *exprs: Any) -> Frame:
         """One row a group; a bare column becomes the list of the group's values."""
@@ -225,7 +252,11 @@ class Grouped:
         found = self.frame._resolve(exprs)
         out = [n.column if n.agg else gathered(n.column, ctx) for n in found]
         grouped = self.frame.df.groupBy(*[k.column.alias(k.name) for k in self.keys])
-        return Frame(grouped.agg(*[c.alias(n.name) for c, n in zip(out, found)]))
+        aggs = [c.alias(n.name) for c, n in zip(out, found)]
+        if not self.stable:
+            return Frame(grouped.agg(*aggs))
+        met = F.min(F.struct(*self.frame.order)).alias("__met")
+        return Frame(grouped.agg(*aggs, met).orderBy("__met").drop("__met"))
 
 
 class DynamicGrouped:

@@ -444,10 +444,10 @@ class Expr:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Division of floats as IEEE has it: by zero infinite, or NaN for 0 / 0."""
+    """Division of floats as IEEE has it: by zero infinite, or NaN for 0 / 0. Null where either is null."""
     a, b = a.cast("double"), b.cast("double")
     inf = F.lit(float("inf"))
-    return F.when(b != 0, F.try_divide(a, b)).when((a == 0) | F.isnan(a), F.when(a.isNotNull(), F.lit(float("nan")))).when(a > 0, inf).when(a < 0, -inf)
+    return F.when(b.isNull() | (b != 0), F.try_divide(a, b)).when((a == 0) | F.isnan(a), F.when(a.isNotNull(), F.lit(float("nan")))).when(a > 0, inf).when(a < 0, -inf)
 
 
 def gathered(column: Column, ctx: Context) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.duration import fixed_micros, parse_duration
+from ..plans.duration import MICROS, MONTHS, fixed_micros, parse_duration
 from ..plans.strftime import java_pattern
 from .expr import Context, Expr, Named, operand
 
@@ -100,6 +100,25 @@ def from_micros(c: Column) -> Column:
     return F.timestamp_micros(c).cast("timestamp_ntz")
 
 
+def _moved(c: Column, by: Column) -> Column:
+    text = F.trim(by)
+    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+
+    def total(units: dict[str, int]) -> Column:
+        out = F.lit(0).cast("long")
+        for unit, size in units.items():
+            # "5m" isn't the start of "5mo" or "5ms"
+            found = F.regexp_extract_all(text, F.lit(rf"(\d+){unit}(?![a-z])"), F.lit(1))
+            out += F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")) * size
+        return out * sign
+
+    # nanoseconds don't reach here: Spark keeps microseconds
+    good = text.rlike(r"^[+-]?(\d+(us|ms|mo|[smhdwqy]))+$")
+    months = F.when(by.isNull() | good, total(MONTHS)).otherwise(F.raise_error(F.concat(F.lit("not a duration: "), by)).cast("long"))
+    out = c.cast("timestamp_ntz") + F.make_interval(months=months.cast("int"))
+    return from_micros(micros(out) + total(MICROS))
+
+
 class Temporal:
     def __init__(self, e: Expr) -> None:
         self.e = e
@@ -171,7 +190,10 @@ class Temporal:
         n = fixed_micros(every)
         return self.e.map(lambda c: from_micros((t := micros(c) + n // 2) - F.pmod(t, F.lit(n))))
 
-    def offset_by(self, by: str) -> Expr:
+    def offset_by(self, by: str | Expr) -> Expr:
+        """By a duration, or by each row's own: an expression of duration texts; null for a null one."""
+        if isinstance(by, Expr):
+            return self.e.with_([by], _moved)
         d = parse_duration(by)
 
         def move(c: Column, ctx: Context) -> Column:

@@ -15,8 +15,13 @@ from ..frame import Frame
 from ..session import active
 
 
-def from_arrow(data: pa.Table | pa.RecordBatch | pa.RecordBatchReader | Iterable[pa.RecordBatch]) -> Frame:
-    """A table, a batch, or a stream of batches, which is read to its end; of a reader an empty one keeps its schema."""
+def from_arrow(data: pa.Table | pa.RecordBatch | pa.RecordBatchReader | pa.Array | Iterable[pa.RecordBatch], name: str = "value") -> Frame:
+    """A table, a batch, or a stream of batches, which is read to its end; of a reader an empty one keeps its schema.
+    An array of structs gives their fields, any other array one column of that name."""
+    if isinstance(data, pa.StructArray):
+        data = pa.RecordBatch.from_struct_array(data)
+    elif isinstance(data, (pa.Array, pa.ChunkedArray)):
+        data = pa.table({name: data})
     if isinstance(data, pa.RecordBatchReader):
         table = data.read_all()
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 import pyarrow as pa
@@ -41,15 +41,22 @@ def read_dbapi(connect: Callable[[], Any], queries: list[str], schema: str, batc
     return scan_batches(rows, schema, len(queries))
 
 
-def write_dbapi(frame: Frame, connect: Callable[[], Any], insert: str, batch: int = BATCH) -> None:
-    """Each partition inserts its rows in batches through its own connection and commits once, at its end."""
+def write_dbapi(frame: Frame, connect: Callable[[], Any], insert: str, batch: int = BATCH, overrides: Mapping[str, Callable[[Any], Any]] | None = None) -> None:
+    """Each partition inserts its rows in batches through its own connection and commits once, at its end.
+
+    A task reads on only when its batch is in, so it holds `batch` rows at most. overrides: by column, what makes of a
+    value the one that the driver takes; nulls stay None.
+    """
+    given = dict(overrides or {})
+    frame._known(*given)
+    makers = [given.get(c) for c in frame.columns]
 
     def write(rows) -> None:
         connection = connect()
         try:
             cursor, held = connection.cursor(), []
             for r in rows:
-                held.append(tuple(r))
+                held.append(tuple(v if f is None or v is None else f(v) for v, f in zip(r, makers)))
                 if len(held) == batch:
                     cursor.executemany(insert, held)
                     held.clear()

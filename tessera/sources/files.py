@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import Frame
+from ..frame import _POOL, Frame
 from ..session import active
 
 
@@ -76,6 +77,15 @@ def read_parquet(path: str) -> Frame:
     return Frame(active().read.parquet(path))
 
 
+def read_csv_async(path: str, **options) -> Future:
+    """A future of the frame: schema and types are inferred beside the caller."""
+    return _POOL.submit(read_csv, path, **options)
+
+
+def read_parquet_async(path: str) -> Future:
+    return _POOL.submit(read_parquet, path)
+
+
 def read_json(path: str) -> Frame:
     """One array of objects in a file."""
     return Frame(active().read.option("multiLine", True).json(path))
