@@ -722,8 +722,11 @@ def brute_kn(rows, folds=5, held=1):
     big = Counter((a, b) for t in train for a, b in zip([b"<s>start"] + t, t))
 
     def disc(values):
+        """k - (k + 1) * Y * n(k+1) / n(k) with Y = n1 / (n1 + 2 * n2), for counts 1, 2, and 3 or more."""
         n = Counter(values)
-        return kneser_ney.discounts([n[1], n[2], n[3], n[4]])
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] or n[2] else 0.5
+        told = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k / 2 for k in (1, 2, 3)]
+        return [0.0] + [min(max(d, 0.05), k - 0.05) for k, d in enumerate(told, 1)]
 
     after, ctx, kinds = Counter(b for _, b in big), Counter(), defaultdict(Counter)
     for (a, _), c in big.items():

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 
-from test_operators import BLANKS, brute_jaccard
+from test_operators import BLANKS, brute_jaccard, brute_mix
 
 
 @pytest.fixture(params=["small", "hard"])
@@ -47,6 +47,48 @@ def test_near(spark, docs):
     assert out.count() == len(groups) + others and out.columns == docs.columns
 
 
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def mixed(docs):
+    """The rows of the mix from the contract's text, by the operator's own independent brute-force version."""
+    rows = docs.collect()
+    want = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in rows])
+    out = Counter()
+    for (i, n, taken), k in want.items():
+        if n:
+            out[(i, n)] += taken // n * k
+    return out
+
+
+def test_mix(spark, docs):
+    out = P.mix(spark, docs, "")
+    size = lambda t: len(WORDS.findall((t or "").encode()))
+    got = Counter((r["doc_id"], size(r["text"])) for r in out.collect())
+    # documents without words take no place in the mix, so how often they come is not told by words taken
+    assert Counter({k: n for k, n in got.items() if k[1]}) == Counter({k: n for k, n in mixed(docs).items() if n})
+    assert out.columns == docs.columns and not set(bag(out)) - set(bag(docs))
+
+
+def test_pieces(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.PIECES)
+    out = P.pieces(spark, docs, "").collect()
+    want = Counter((r["doc_id"], tuple(library.encode(r["text"] or ""))) for r in docs.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == want and all(r["same_text"] for r in out)
+
+
+@pytest.mark.parametrize("name", ["hard", "empty"])
+def test_run_on_hard_and_empty_tables(spark, request, tmp_path, name):
+    docs = request.getfixturevalue(name)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = P.run(spark, f"file://{tmp_path}")
+    found = out.collect()
+    assert out.columns[:2] == ["doc_id", "n_pieces"] and bool(found) == (name == "hard")
+    assert {r["doc_id"] for r in found} <= {r["doc_id"] for r in docs.collect()} and all(r["same_text"] for r in found)
+
+
 def test_run(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and out.filter("not same_text").count() == 0
