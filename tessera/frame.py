@@ -146,8 +146,8 @@ class Frame:
         keys = [n.name for n in other._resolve(right)]
         return self._new(O.join(self.df, other.df, [n.column for n in self._resolve(left)], [n.column for n in other._resolve(right)], how, keys))
 
-    def join_asof(self, other: Frame, left_on: str, right_on: str | None = None, by: Sequence[str] = (), by_right: Sequence[str] | None = None, strategy: str = "backward", tolerance: Any = None) -> Frame:
-        return self._new(O.join_asof(self.df, other.df, left_on, right_on or left_on, by, by if by_right is None else by_right, strategy, tolerance))
+    def join_asof(self, other: Frame, left_on: str, right_on: str | None = None, by: Sequence[str] = (), by_right: Sequence[str] | None = None, strategy: str = "backward", tolerance: Any = None, sliced: bool | None = None) -> Frame:
+        return self._new(O.join_asof(self.df, other.df, left_on, right_on or left_on, by, by if by_right is None else by_right, strategy, tolerance, sliced))
 
     # groups
 

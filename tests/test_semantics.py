@@ -281,3 +281,40 @@ def test_truncate_refuses_months_with_days(spark):
 
     with pytest.raises(ValueError):
         Frame(spark.sql("SELECT TIMESTAMP_NTZ'2024-03-05 00:00:00' AS t")).select(col("t").dt.truncate("1mo2d"))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("strategy", ["backward", "forward", "nearest"])
+def test_asof_in_slices(spark, by, strategy):
+    """Slices give what one sequence gives, and what comparing all pairs gives; keys tie, are null, or lie far apart."""
+    import random
+
+    from tessera import Frame
+
+    rng = random.Random(7)
+    when = lambda: rng.choice([None, rng.randrange(60), rng.randrange(9000), 10**9 + rng.randrange(50)])
+    lefts = [(k, when(), rng.choice(["a", "b", None])) for k in range(400)]
+    rights = [(when(), rng.choice(["a", "b", None]), k) for k in range(300)]
+    left = Frame(spark.createDataFrame(lefts, "n int, t long, g string"))
+    right = Frame(spark.createDataFrame(rights, "t long, g string, v int"))
+    far = 40
+    expected = {}
+    for n, t, g in lefts:
+        fits = [] if t is None or (by and g is None) else [r for r in rights if r[0] is not None and (not by or r[1] == g)]
+        # columns in order: g, v without groups; v alone with them; nulls come first
+        rank = lambda r: (r[1] or "", r[2]) if not by else (r[2],)
+        back = max((r for r in fits if r[0] <= t), key=lambda r: (r[0], rank(r)), default=None)
+        ahead = min((r for r in fits if r[0] >= t), key=lambda r: (r[0], rank(r)), default=None)
+        best = back if strategy == "backward" else ahead if strategy == "forward" else ahead if back is None or (ahead is not None and ahead[0] - t < t - back[0]) else back
+        expected[n] = best[2] if best is not None and abs(best[0] - t) <= far else None
+    for sliced in (None, True, False):
+        joined = left.join_asof(right, "t", by=by, strategy=strategy, tolerance=far, sliced=sliced).collect()
+        assert len(joined) == 400 and {r["n"]: r["v"] for r in joined} == expected, sliced
+
+
+def test_asof_in_slices_of_empty_sides(spark):
+    from tessera import Frame
+
+    some, none = (Frame(spark.createDataFrame(rows, "t long, v int")) for rows in ([(1, 2), (None, 3)], []))
+    assert [(r["t"], r["v_right"]) for r in some.join_asof(none, "t").sort("t").collect()] == [(None, None), (1, None)]
+    assert none.join_asof(some, "t").collect() == []
