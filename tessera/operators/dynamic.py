@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.duration import fixed_micros
@@ -31,11 +32,17 @@ def dynamic_windows(df: DataFrame, time: str, every: str | dt.timedelta, period:
     keys = [F.col(f"`{c}`") for c in by]
     at = F.unix_micros(F.col(f"`{time}`").cast("timestamp"))
     out = df.filter(F.col(f"`{time}`").isNotNull()).withColumn("__t", at)
-    # each group's first time: an aggregate that is joined back would shuffle twice; the windows below need the group
-    # together only where they start at data points or overlap
+    # each group's first time is needed only where windows start at data points or overlap; it is an aggregate that is
+    # joined back, so that rows of a hot group needn't meet in one task: the join splits them, or broadcasts the times
     needs_first = start_by == "data_point" or span > step
     if needs_first:
-        out = out.withColumn("__first", F.min("__t").over(Window.partitionBy(*keys))) if by else out.crossJoin(F.broadcast(out.agg(F.min("__t").alias("__first"))))
+        least = F.min("__t").alias("__first")
+        if by:
+            names = [f"__k{k}" for k in range(len(by))]
+            firsts = out.groupBy(*[c.alias(n) for c, n in zip(keys, names)]).agg(least)
+            out = out.join(firsts, reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for c, n in zip(keys, names)])).drop(*names)
+        else:
+            out = out.withColumn("__first", out.agg(least).scalar())
     if start_by == "data_point":
         origin = F.col("__first")
     elif start_by == "window_bound":

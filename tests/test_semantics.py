@@ -318,3 +318,14 @@ def test_asof_in_slices_of_empty_sides(spark):
     some, none = (Frame(spark.createDataFrame(rows, "t long, v int")) for rows in ([(1, 2), (None, 3)], []))
     assert [(r["t"], r["v_right"]) for r in some.join_asof(none, "t").sort("t").collect()] == [(None, None), (1, None)]
     assert none.join_asof(some, "t").collect() == []
+
+
+def test_sliding_windows_of_null_groups(spark):
+    """A null key is a group with a first row of its own."""
+    from tessera.operators.dynamic import LOWER, dynamic_windows
+
+    df = spark.sql("SELECT g, timestamp_micros(s * 1000000L)::timestamp_ntz AS t FROM VALUES (NULL, 3600), (NULL, 5400), ('a', 7200), ('a', NULL) AS v(g, s)")
+    got = sorted((r["g"] or "", r["t"].hour * 60 + r["t"].minute, r[LOWER].hour) for r in dynamic_windows(df, "t", "1h", "2h", by=["g"]).collect())
+    assert got == [("", 60, 1), ("", 90, 1), ("a", 120, 2)]
+    empty = dynamic_windows(df.filter("g = 'none'"), "t", "1h", "2h", by=["g"])
+    assert empty.count() == 0 and dynamic_windows(df.filter("g = 'none'"), "t", "1h", "2h").count() == 0
