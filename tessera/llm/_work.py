@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -73,6 +74,12 @@ class Workspace:
     def drop(self, name: str) -> None:
         _remove(self.spark, self.path(name))
 
+    def release(self) -> None:
+        """Shuffle files that no table needs any more go. Spark removes them when the driver's collector finds their
+        plans unused, and in a job whose work is done by Python tasks that may not run for long."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import opened, squeeze
-from ._bytes import BYTE_HASH, U64, chunks, column_bytes, member, powers, rolling_hashes, tidy
+from ._blocks import mapped, opened, put, squeeze
+from ._bytes import BYTE_HASH, U64, chunks, column_bytes, member, mix, powers, rolling_hashes, tidy
 from ._work import Workspace, as_bytes, per_gb_partitions
 
 LENGTH, GRAM = 50, 20
@@ -32,8 +32,9 @@ LENGTH, GRAM = 50, 20
 DEPTH, STEP = 96, 32
 #: Minimisers that a task gathers before it sends a block; bytes of segments, and of texts, handled at once.
 FLUSH, SEGMENT_BYTES, PIECE = 1 << 20, 1 << 20, 1 << 19
-#: Shared minimisers that are broadcast at most (64 MB); beyond it segments meet them by a shuffle.
-SHARED = 8 << 20
+#: Shared minimisers that are broadcast at most (64 MB); beyond it tasks map filters of them from the shared folder, one
+#: for each SLICE of them or so, and a filter has at least FILTER_BITS bits a minimiser.
+SHARED, SLICE, FILTER_BITS = 8 << 20, 4 << 20, 8
 LAST = (1 << 63) - 1
 
 
@@ -120,6 +121,67 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "n": [len(shared)], "blob": [squeeze(shared)]})
 
 
+class Filters:
+    """Bit filters of shared minimisers, as files in the shared folder. All shared ones pass, and a few per cent of the
+    others: their segments meet nobody."""
+
+    def __init__(self, root: str, total: int) -> None:
+        self.root, self.slice_bits = root, max(0, (max(total, 1) - 1) // SLICE).bit_length()
+        self.size = 1 << max(6, ((FILTER_BITS * total >> self.slice_bits) - 1).bit_length())
+        self.present: list[int] = []
+
+    def slices(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed >> U64(63 - self.slice_bits) >> U64(1)).astype(np.int64)
+
+    def places(self, mixed: np.ndarray) -> list[np.ndarray]:
+        return [((mixed >> U64(shift)) & U64(self.size - 1)).astype(np.int64) for shift in (0, 28)]
+
+    def dealt(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                keys = opened(blob, np.uint64)[0]
+                own = self.slices(mix(keys))
+                ids = np.unique(own)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([squeeze(keys[own == k]) for k in ids], pa.binary())], ["slice", "blob"])
+
+    def written(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(self.size, dtype=bool)
+        for blob in rows["blob"]:
+            for at in self.places(mix(opened(blob, np.uint64)[0])):
+                held[at] = True
+        put(f"{self.root}/{key[0]}", np.packbits(held, bitorder="little"))
+        return pd.DataFrame({"slice": [key[0]]})
+
+    def build(self, shared: DataFrame) -> Filters:
+        dealt = shared.select("blob").mapInArrow(tidy(self.dealt), "slice long, blob binary")
+        self.present = [r["slice"] for r in dealt.groupBy("slice").applyInPandas(lambda key, rows: self.written(key, rows), "slice long").collect()]
+        return self
+
+    def open(self):
+        """The test of keys, in a task."""
+        files = {k: mapped(f"{self.root}/{k}", np.uint8) for k in self.present}
+
+        def passes(keys: np.ndarray) -> np.ndarray:
+            mixed, hit = mix(keys), np.zeros(len(keys), dtype=bool)
+            own = self.slices(mixed)
+            for k in np.unique(own).tolist():
+                if k in files:
+                    mine = np.flatnonzero(own == k)
+                    hit[mine] = np.logical_and.reduce([files[k][at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in self.places(mixed[mine])])
+            return hit
+
+        return passes
+
+
+def _sender(shared):
+    """Which keys a task sends segments of: those in a broadcast table, those that pass filters, or all (None)."""
+    if shared is None:
+        return lambda keys: np.ones(len(keys), dtype=bool)
+    if isinstance(shared, Filters):
+        return shared.open()
+    return lambda keys: member(keys, shared.value)
+
+
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Spans of all blobs, overlapping or touching ones joined."""
     both = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
@@ -164,7 +226,7 @@ def _segments(shared):
     names = ["key", "id", "row", "starts", "segment", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value if shared is not None else None
+        sent = _sender(shared)
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -205,9 +267,8 @@ def _segments(shared):
             ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for part, data, offsets in chunks(batch.column("text"), PIECE):
                 first, last, row, key = window_runs(data, offsets)
-                if keys is not None:
-                    hit = member(key, keys)
-                    first, last, row, key = first[hit], last[hit], row[hit], key[hit]
+                hit = sent(key)
+                first, last, row, key = first[hit], last[hit], row[hit], key[hit]
                 if not len(first):
                     continue
                 size = last - first + LENGTH
@@ -404,22 +465,18 @@ def remove_repeats(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_
     if total <= SHARED:
         keys = [opened(r["blob"], np.uint64)[0] for r in shared.orderBy("block").toLocalIterator()]
         table = spark.sparkContext.broadcast(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-        segments = rows.mapInArrow(tidy(_segments(table)), SEGMENT_SCHEMA)
     else:
-        keys = shared.mapInArrow(tidy(_listed), "key long")
-        segments = rows.mapInArrow(tidy(_segments(None)), SEGMENT_SCHEMA)
-        segments = segments.filter("spans is not null").unionByName(segments.filter("spans is null").join(keys, "key", "left_semi"))
+        table = Filters(work.path("filters"), total).build(shared)
+    work.release()
+    segments = rows.mapInArrow(tidy(_segments(table)), SEGMENT_SCHEMA)
     met = segments.repartition(2 * parts, "key").sortWithinPartitions("key")
     spans = work.save(met.mapInArrow(tidy(_found), "row long, spans binary"), "spans")
+    work.drop("shared")
+    work.drop("filters")
+    work.release()
     by_row = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
     told = given.join(by_row, "row", "left").select(F.col("doc_id").alias("id"), "text", "spans")
     return told.mapInArrow(tidy(_removed(keep_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 SEGMENT_SCHEMA = "key long, id long, row long, starts array<int>, segment binary, spans binary"
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(opened(blob, np.uint64)[0].view(np.int64))], ["key"])

@@ -398,6 +398,31 @@ def test_suffix_without_broadcast(docs, work, monkeypatch):
     assert bag(suffix_dedup.remove_repeats(docs, work).collect()) == brute_repeats(pairs(docs))
 
 
+def test_suffix_without_broadcast_sends_little(spark, work, monkeypatch):
+    # segments of minimisers that one document has must not be shuffled, however many minimisers are shared
+    monkeypatch.setattr(suffix_dedup, "SHARED", -1)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 40)
+    r = np.random.default_rng(9)
+    text = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = [text(100) for _ in range(30)]
+    rows = [(k, text(2000) + shared[k % 30] + text(2000)) for k in range(90)]
+    sent, segments = spark.sparkContext.accumulator(0), suffix_dedup._segments
+
+    def counted(known):
+        def run(batches):
+            for batch in segments(known)(batches):
+                sent.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_segments", counted)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), work).collect()
+    assert bag(found) == brute_repeats(rows)
+    every = sum(len(suffix_dedup.window_runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for _, t in rows)
+    assert 0 < sent.value < every / 4
+
+
 def test_suffix_of_hashes_alike(spark, work, monkeypatch):
     # every hash of equal length is the same: what is told by hashes alone would now be wrong
     monkeypatch.setattr(suffix_dedup, "rolling_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) * 0 + np.uint64(7))
