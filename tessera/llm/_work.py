@@ -56,6 +56,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES)),):
             spark.conf.set(key, value)
         atexit.register(_at_exit, spark, self.root)
@@ -64,6 +65,7 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").options(**{"parquet.block.size": str(ROW_GROUP_BYTES), **options}).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -72,8 +74,15 @@ class Workspace:
         return self.save(df.withColumn(row, F.monotonically_increasing_id()), name, compression="zstd")
 
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         _remove(self.spark, self.path(name))
 
+    def finish(self, before: set[str], *keep: str) -> None:
+        """An operator is done: what it has written since there were the tables `before` goes, but for those to keep."""
+        for name in self.names - before - set(keep):
+            self.drop(name)
+        self.release()
+
     def release(self) -> None:
         """Shuffle files that no table needs any more go. Spark removes them when the driver's collector finds their
         plans unused, and in a job whose work is done by Python tasks that may not run for long."""

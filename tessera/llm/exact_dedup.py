@@ -177,7 +177,9 @@ def exact_dedup(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
 
 def drop_copies(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_dedup drops; all columns stay as they are."""
-    row = fresh("row_number", df.columns)
+    row, before = fresh("row_number", df.columns), set(work.names)
     keyed = work.numbered(df, row)
     dropped = exact_dedup(keyed, work, id_col, text_col, row).filter("not kept").select(F.col("row").alias(row))
-    return keyed.join(small_side(work.save(dropped, "dropped")), row, "left_anti").select(*df.columns)
+    dropped = work.save(dropped, "dropped")
+    work.finish(before, "numbered", "dropped")
+    return keyed.join(small_side(dropped), row, "left_anti").select(*df.columns)

@@ -10,7 +10,8 @@ what is scanned, never what is found.
 Equal sets are one set. Lists are joined in steps, so that a list of near copies never gives all its pairs: every member
 is first compared with one member of its list. Where members of a list are then still in different components, each
 outside the list's largest component meets a few of the other components, the nearest by sketches, more of them in each
-step (NEAREST), until sketches leave nobody out. So what is compared follows the entries, not the pairs of a list. Lists of shingles known to be frequent are dealt in blocks of about
+step (NEAREST), until sketches leave nobody out. A step only reads lists of members whom the one before left something
+to meet: in all others every pair that can be linked has been compared. So what is compared follows the entries, not the pairs of a list. Lists of shingles known to be frequent are dealt in blocks of about
 SPLIT entries, and blocks meet in pairs. Candidates pass a bit-sketch bound and are verified by exact overlap of their
 64-bit shingle hashes; sets are told apart by 128 bits.
 """
@@ -196,7 +197,8 @@ def _posted(width: int, percent: int, boundary: int, frequent):
 
 def _starred(percent: int, boundary: int):
     """Of entries sorted by list and block, pairs (node, with) of a block's first entry with each other one that may be
-    linked, and the entries themselves (with null) of lists of more than two. At most two entries wait for the next batch."""
+    linked, and the entries themselves (with null) of lists of more than two, of short lists only those that sizes and
+    places allow to be linked with another than the first. At most two entries wait for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sh", *ENTRY]
@@ -225,7 +227,19 @@ def _starred(percent: int, boundary: int):
             lead = [int(x[-1]) for x in start] if keep == m and not last else None
             fits = _fits(percent, boundary, n, pos, start[2], start[3], small)
             pair = np.flatnonzero(fits[:keep] & (row[:keep] != start[1][:keep]))
-            entry = np.flatnonzero(big[group][:keep])
+            # lists that are whole in this batch, and not cut into blocks
+            whole = (size > 2) & (size <= TOGETHER) & (blocks[first] == 1)
+            whole[0] &= not more
+            whole[-1] &= last
+            open_ = ~whole[group]
+            some = np.flatnonzero(whole)
+            for k in range(0, len(some), 512):
+                mine = some[k : k + 512]
+                take = np.concatenate([np.arange(first[g] + 1, first[g] + size[g]) for g in mine])
+                i, j = (take[x] for x in pairs_within(size[mine] - 1))
+                ok = _fits(percent, boundary, n[i], pos[i], n[j], pos[j], small[i])
+                open_[i[ok]] = open_[j[ok]] = True
+            entry = np.flatnonzero((big[group] & open_)[:keep])
             out = [pa.array(np.concatenate([x[pair], x[entry]])) for x in c]
             with_ = pa.concat_arrays([pa.array(start[1][pair]), pa.nulls(len(entry), pa.int64())])
             return pa.RecordBatch.from_arrays([*out, with_], [*names, "with"])
@@ -250,7 +264,8 @@ def _fits(percent: int, boundary: int, n, pos, m, other_pos, small):
 def _still_apart(percent: int, boundary: int, most: int | None):
     """Rows come sorted by group (a list, or two of its blocks): pairs (a, b) of entries in different components that
     sizes, places and sketches allow to be linked, b outside the list's main component, and in how many bits they differ.
-    With most, b meets only so many in the group, the nearest by sketches, and a row of nulls tells that there are more."""
+    One of them must be open. With most, b meets only so many in the group, the nearest by sketches, and a row (null, b,
+    null) tells that there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(c: dict[str, np.ndarray], words: np.ndarray) -> pa.RecordBatch:
@@ -263,7 +278,7 @@ def _still_apart(percent: int, boundary: int, most: int | None):
             def look(i: np.ndarray, j: np.ndarray) -> None:
                 for k in range(0, len(i), 1 << 18):
                     x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                    ok = (part[x] != part[y]) & ((c["low"][x] == c["high"][x]) | (c["block"][x] != c["block"][y]))
+                    ok = (part[x] != part[y]) & ((c["open"][x] | c["open"][y]) > 0) & ((c["low"][x] == c["high"][x]) | (c["block"][x] != c["block"][y]))
                     x, y = x[ok], y[ok]
                     ok = _fits(percent, boundary, n[x], pos[x], n[y], pos[y], c["small"][x])
                     x, y = x[ok], y[ok]
@@ -290,16 +305,17 @@ def _still_apart(percent: int, boundary: int, most: int | None):
                     i, j = np.repeat(b, len(outside)), np.tile(outside, len(b))
                     look(i[i < j], j[i < j])
             a, b, differ = (np.concatenate(x) for x in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 3
-            more = False
+            more = np.zeros(0, np.int64)
             if most is not None and len(a):
                 order = np.lexsort((mix((node[a] ^ node[b]).view(np.uint64)), differ, b))
                 a, b, differ = a[order], b[order], differ[order]
                 start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
                 near = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < most
-                more = not near.all()
+                more = np.unique(node[b[~near]])
                 a, b, differ = a[near], b[near], differ[near]
             pairs = np.unique(np.stack([node[a], node[b], differ]), axis=1) if len(a) else np.zeros((3, 0), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(int(more), pa.int64())]) for x in pairs], ["a", "b", "differ"])
+            none = pa.nulls(len(more), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), y]) for x, y in zip(pairs, (none, pa.array(more), none))], ["a", "b", "differ"])
 
         held: pa.Table | None = None
 
@@ -406,6 +422,7 @@ class JaccardJoin:
         entries = posted.filter("sh is not null").select("sh", *ENTRY)
         met = entries.repartition(self.parts, "sh", "block").sortWithinPartitions("sh", "small", "block", "node").mapInArrow(tidy(_starred(self.percent, self.boundary)), ", ".join(f"{c} long" for c in ("sh", *ENTRY, "with")))
         met = work.save(met, "met")
+        work.release()
         self.pairs = met.filter("with is not null").select(F.col("with").alias("a"), F.col("node").alias("b"))
         self.lists = met.filter("with is null").select("sh", *ENTRY)
 
@@ -436,37 +453,48 @@ class JaccardJoin:
     def join(self) -> DataFrame:
         """(node, component_id) of nodes that have a link."""
         work = self.work
-        links = self.verify(self.near(self.pairs, "star"), "star")
+        links, left = self.verify(self.near(self.pairs, "star"), "star"), None
         for step, most in enumerate(NEAREST):
             part_of = components(links, work, f"components-{step}")
-            found = work.save(self.apart(part_of, most, f"step-{step}").distinct(), f"step-{step}-found")
-            pairs, more = found.filter("a is not null"), found.filter("a is null").limit(1).count() > 0
+            found = work.save(self.apart(part_of, left, most, f"step-{step}").distinct(), f"step-{step}-found")
+            pairs, cut = found.filter("a is not null"), found.filter("a is null").select("b")
+            more = cut.limit(1).count() > 0
             if more:
                 # an entry's lists name much the same members: of all that they name it meets so many
                 place = F.row_number().over(Window.partitionBy("b").orderBy("differ", F.xxhash64("a", "b"), "a"))
-                pairs = pairs.withColumn("place", place).filter(F.col("place") <= most)
+                placed = pairs.withColumn("place", place)
+                pairs = placed.filter(F.col("place") <= most)
+                # every pair that is left out now has one of these
+                left = work.save(cut.unionByName(placed.filter(F.col("place") > most).select("b")).distinct(), f"step-{step}-left")
             links = links.unionByName(self.verify(self.near(pairs, f"step-{step}"), f"step-{step}"))
             for name in ("mains", "found", "pairs", "near"):
                 work.drop(f"step-{step}-{name}")
+            work.release()
             if not more:
                 break
         return components(links, work, "components").select(F.col("id").alias("node"), "component_id")
 
-    def apart(self, part_of: DataFrame, most: int | None, name: str) -> DataFrame:
-        """Pairs to compare, of entries of lists that hold several components. Components only grow, so that a list
-        that holds one is done with."""
+    def apart(self, part_of: DataFrame, left: DataFrame | None, most: int | None, name: str) -> DataFrame:
+        """Pairs to compare, of entries of lists that hold several components and a node of `left` (b; None: any node),
+        which one of a pair must be. Components only grow, so that a list that holds one is done with."""
         work = self.work
         part_of = small_side(part_of.select(F.col("id").alias("node"), "component_id"))
         own = self.lists.join(part_of, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-        parts = own.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"))
-        mains = parts.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        if left is None:
+            own = own.withColumn("open", F.lit(1).cast("long"))
+        else:
+            again = small_side(left.select(F.col("b").alias("node"))).withColumn("open", F.lit(1).cast("long"))
+            own = own.join(again, "node", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("long")))
+        parts = own.groupBy("sh", "small", "component_id").agg(F.count("*").alias("k"), F.max("open").alias("open"))
+        mains = parts.groupBy("sh", "small").agg(F.max(F.struct("k", "component_id")).alias("m"), F.count("*").alias("parts"), F.max("open").alias("open"))
+        mains = mains.filter((F.col("parts") > 1) & (F.col("open") > 0))
         mains = work.save(mains.select("sh", "small", F.col("m.component_id").alias("main")), f"{name}-mains")
         open_ = own.join(small_side(mains), ["sh", "small"])
-        self.lists = work.save(open_.select("sh", *ENTRY, "component_id", "main"), f"{name}-lists")
+        self.lists = work.save(open_.select("sh", *ENTRY, "component_id", "main", "open"), f"{name}-lists")
         other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block")))
         met = self.lists.withColumn("beside", other).withColumns({"low": F.least("block", "beside"), "high": F.greatest("block", "beside")}).join(self.sketches.select("node", *WORDS), "node")
         self.lists = self.lists.select("sh", *ENTRY)
-        met = met.select("sh", "small", "low", "high", "node", "n", "pos", "block", "component_id", "main", *WORDS)
+        met = met.select("sh", "small", "low", "high", "node", "n", "pos", "block", "component_id", "main", "open", *WORDS)
         return met.repartition(self.parts, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(tidy(_still_apart(self.percent, self.boundary, most)), "a long, b long, differ long")
 
 
@@ -513,10 +541,11 @@ def jaccard_components(df: DataFrame, work: Workspace, width: int = 4, percent:
 
 def drop_near_copies(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one row of each component, that of the smallest id; all columns stay as they are."""
-    row = fresh("row_number", df.columns)
+    row, before = fresh("row_number", df.columns), set(work.names)
     keyed = work.numbered(df, row)
     found = jaccard_components(keyed, work, id_col=id_col, text_col=text_col, row_col=row, **options).filter("doc_id is not null")
     found = work.save(found.withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("row"))), "found")
     kept = found.groupBy("component_id", "empty").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
     dropped = work.save(found.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)), "dropped")
+    work.finish(before, "numbered", "dropped")
     return keyed.join(small_side(dropped), row, "left_anti").select(*df.columns)

@@ -130,8 +130,10 @@ def mix(df: DataFrame, work: Workspace, weights: Sequence[float] = (5, 2, 1), ma
 
 def mixed_rows(df: DataFrame, work: Workspace, id_col: str = "doc_id", **options) -> DataFrame:
     """df with each row as often as the mix takes it; all columns stay as they are."""
-    row, many = fresh("row_number", df.columns), fresh("row_copies", df.columns)
+    row, many, before = fresh("row_number", df.columns), fresh("row_copies", df.columns), set(work.names)
     keyed = work.numbered(df, row)
     copies = mix(keyed, work, id_col=id_col, row_col=row, **options).select(row, F.col("copies").alias(many)).filter(F.col(many) > 0)
-    out = keyed.join(small_side(work.save(copies, "copies")), row)
+    copies = work.save(copies, "copies")
+    work.finish(before, "numbered", "copies")
+    out = keyed.join(small_side(copies), row)
     return out.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col(many).cast("int"))).alias(many)).select(*df.columns)

@@ -671,6 +671,48 @@ def test_jaccard_blocks_and_steps(spark, work, monkeypatch, split, nearest, few)
     assert bag(out.collect()) == brute_jaccard(rows, 2, 80)
 
 
+def test_jaccard_steps_read_what_is_left(spark, work, monkeypatch):
+    import random
+
+    from tessera.llm._work import Workspace
+
+    r, read, save = random.Random(3), [], Workspace.save
+    rows = shared_rows(r)
+    for g in range(30):
+        # documents that share half of their words are in lists of three, but never linked: one step is enough for them
+        half = [f"t{g}h{k}" for k in range(30)]
+        rows += [(len(rows) + d, " ".join(half + [f"t{g}d{d}w{k}" for k in range(30)])) for d in range(3)]
+
+    def watched(self, df, name, **options):
+        out = save(self, df, name, **options)
+        if name in ("step-0-lists", "step-1-lists"):
+            read.append({x["node"] for x in out.select("node").collect()})
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    monkeypatch.setattr(jaccard_join, "NEAREST", (1, None))
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "row long, doc_id long, text string").repartition(4)
+    out = jaccard_join.jaccard_components(df, work, 2, 80, row_col="row").select("doc_id", "n_shingles", "component_id")
+    assert bag(out.collect()) == brute_jaccard(rows, 2, 80)
+    assert len(read) == 2 and max(read[0]) >= 140 and read[1] and max(read[1]) < 140
+
+
+def test_finished_stages_leave_two_tables(small, work):
+    import os
+
+    def left(w):
+        return sorted(os.listdir(w.root.removeprefix("file://")))
+
+    from tessera.llm._work import Workspace
+
+    spark = work.spark
+    exact, near, mix = (Workspace(spark, x) for x in ("exact", "near", "mix"))
+    kept = exact_dedup.drop_copies(small, exact)
+    unlike = jaccard_join.drop_near_copies(kept, near, width=5, percent=80)
+    mixed = mixing.mixed_rows(unlike, mix, weights=(5, 2, 1), max_repeat=3.0)
+    assert mixed.count() > 0 and left(exact) == left(near) == ["dropped", "numbered"] and left(mix) == ["copies", "numbered"]
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.boundary_by_cost({n: 10 for n in range(1, 25)}, 85, 1e9) == jaccard_join.MOST_SMALL
     assert jaccard_join.boundary_by_cost({8: 100, 9: 100}, 85) == 8
