@@ -85,7 +85,9 @@ class Workspace:
 
     def release(self) -> None:
         """Shuffle files that no table needs any more go. Spark removes them when the driver's collector finds their
-        plans unused, and in a job whose work is done by Python tasks that may not run for long."""
+        plans unused, and in a job whose work is done by Python tasks that may not run for long. Spark's event queues
+        hold the plan that ended last until something else happens, hence the empty job."""
+        self.spark.range(0).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -35,6 +35,8 @@ FLUSH, SEGMENT_BYTES, PIECE = 1 << 20, 1 << 20, 1 << 19
 #: Shared minimisers that are broadcast at most (64 MB); beyond it tasks map filters of them from the shared folder, one
 #: for each SLICE of them or so, and a filter has at least FILTER_BITS bits a minimiser.
 SHARED, SLICE, FILTER_BITS = 8 << 20, 4 << 20, 8
+#: Rows whose spans are one file.
+BLOCK = 4096
 LAST = (1 << 63) - 1
 
 
@@ -184,9 +186,14 @@ def _sender(shared):
 
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Spans of all blobs, overlapping or touching ones joined."""
-    both = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
-    own, starts, ends = joined(np.zeros(len(both), dtype=np.int64), both[:, 0], both[:, 1])
-    return starts, ends
+    return unpacked(np.zeros(len(blobs), dtype=np.int64), pa.array(blobs, pa.binary()))[1:]
+
+
+def unpacked(rows: np.ndarray, blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the rows' blobs in order of row and start, overlapping or touching ones of a row joined."""
+    data, offsets = column_bytes(blobs)
+    both = np.frombuffer(data.tobytes(), "<u4").reshape(-1, 2).astype(np.int64)
+    return joined(np.repeat(rows, np.diff(offsets) // 8), both[:, 0], both[:, 1])
 
 
 def joined(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -423,12 +430,58 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spans(pa.concat_tables(held))
 
 
-def _removed(keep_text: bool):
+class Blocks:
+    """Spans by row, as files in the shared folder, one for each block of rows: texts stay where they are, their spans
+    are mapped beside them."""
+
+    def __init__(self, root: str) -> None:
+        self.root, self.size = root, BLOCK
+        self.present: set[int] = set()
+
+    def written(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted, all of a block in one task. A block's spans are held joined."""
+        held: list[tuple] = []
+
+        def write() -> pa.RecordBatch:
+            rows, starts, ends = joined(*(np.concatenate(x) for x in zip(*held)))
+            block = int(rows[0]) // self.size
+            put(f"{self.root}/{block}", np.stack([rows % self.size, starts, ends]).astype("<u4"))
+            return pa.RecordBatch.from_arrays([pa.array([block])], ["block"])
+
+        for batch in batches:
+            rows, starts, ends = unpacked(batch.column("row").to_numpy(), batch.column("spans"))
+            cuts = np.flatnonzero(np.diff(rows // self.size)) + 1
+            for part in zip(*(np.split(x, cuts) for x in (rows, starts, ends))):
+                if not len(part[0]):
+                    continue
+                if held and held[0][0][0] // self.size != part[0][0] // self.size:
+                    yield write()
+                    held.clear()
+                held.append(part)
+        if held:
+            yield write()
+
+    def build(self, spans: DataFrame, parts: int) -> Blocks:
+        dealt = spans.repartition(parts, F.expr(f"row div {self.size}")).sortWithinPartitions("row")
+        self.present = {r["block"] for r in dealt.mapInArrow(tidy(self.written), "block long").collect()}
+        return self
+
+    def of(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and ends of each row's spans, in a task."""
+        blocks, own = rows // self.size, (rows % self.size).astype("<u4")
+        files = {k: np.asarray(mapped(f"{self.root}/{k}", "<u4")).reshape(3, -1) for k in np.unique(blocks).tolist() if k in self.present}
+        none = np.zeros((3, 0), dtype="<u4")
+        for block, row in zip(blocks.tolist(), own):
+            held, starts, ends = files.get(block, none)
+            at = slice(*np.searchsorted(held, np.array([row, row + 1], dtype="<u4")))
+            yield starts[at].astype(np.int64), ends[at].astype(np.int64)
+
+
+def _removed(blocks: Blocks, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [], [])
-            for text, blobs in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                starts, ends = unpack(blobs or [])
+            for text, (starts, ends) in zip(batch.column("text").to_pylist(), blocks.of(batch.column("row").to_numpy())):
                 left, at = [], 0
                 for s, e in zip(starts.tolist(), ends.tolist()):
                     left.append(text[at:s])
@@ -467,16 +520,18 @@ def remove_repeats(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_
         table = spark.sparkContext.broadcast(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
     else:
         table = Filters(work.path("filters"), total).build(shared)
+    work.drop("shared")
     work.release()
     segments = rows.mapInArrow(tidy(_segments(table)), SEGMENT_SCHEMA)
     met = segments.repartition(2 * parts, "key").sortWithinPartitions("key")
     spans = work.save(met.mapInArrow(tidy(_found), "row long, spans binary"), "spans")
-    work.drop("shared")
     work.drop("filters")
     work.release()
-    by_row = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    told = given.join(by_row, "row", "left").select(F.col("doc_id").alias("id"), "text", "spans")
-    return told.mapInArrow(tidy(_removed(keep_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    blocks = Blocks(work.path("blocks")).build(spans, parts)
+    work.drop("spans")
+    work.release()
+    told = given.select(F.col("doc_id").alias("id"), "row", "text")
+    return told.mapInArrow(tidy(_removed(blocks, keep_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 SEGMENT_SCHEMA = "key long, id long, row long, starts array<int>, segment binary, spans binary"

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -423,6 +424,28 @@ def test_suffix_without_broadcast_sends_little(spark, work, monkeypatch):
     assert 0 < sent.value < every / 4
 
 
+def test_suffix_moves_no_text(spark, docs, work, monkeypatch):
+    # the result takes spans from files beside the texts, whatever the size of their blocks, and finished shuffles are gone
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3, raising=False)
+    out = suffix_dedup.remove_repeats(docs, work)
+    assert not re.search("Exchange|Join", out._jdf.queryExecution().executedPlan().toString())
+    assert bag(out.collect()) == brute_repeats(pairs(docs))
+
+
+def test_release_frees_the_last_shuffle(spark, work):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    ids = lambda: {k for k in range(4000) if held.contains(k)}
+    before = ids()
+    work.save(spark.range(1000).selectExpr("id % 7 AS k").repartition(3, "k"), "dealt")
+    made = ids() - before
+    work.release()
+    for _ in range(50):
+        if not made & ids():
+            break
+        time.sleep(0.1)
+    assert made and not made & ids()
+
+
 def test_suffix_of_hashes_alike(spark, work, monkeypatch):
     # every hash of equal length is the same: what is told by hashes alone would now be wrong
     monkeypatch.setattr(suffix_dedup, "rolling_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) * 0 + np.uint64(7))
